@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_dup, secrets, toxicity
+from . import bpe, decontamination, near_dup, secrets, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_decontamination, op6_near_dup, op8_toxicity, op9_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op6_near_dup, op8_toxicity, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
