@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, near_dup, secrets, substrings, toxicity
+from . import bpe, decontamination, embeddings, near_dup, secrets, substrings, toxicity
 from .common import table
 
 
@@ -34,8 +34,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op6_near_dup, op8_toxicity, op9_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op6_near_dup, op8_toxicity, op9_bpe, op10_embedding_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
