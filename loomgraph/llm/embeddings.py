@@ -34,7 +34,7 @@ THRESHOLD = 0.95
 CELL_POINTS = 2_000
 MOST_CENTRES = 1 << 15
 LEAF = 24
-PAIRS_AT_ONCE = 200_000
+HEADS_AT_ONCE = 256
 SLACK = 1e-6
 
 
@@ -72,16 +72,27 @@ class CoverTree:
             owner = np.where(far <= level, 0, -1)
             near = far.copy()
             heads = [self.centre[node]]
-            while (owner < 0).any():
-                head = members[int(np.flatnonzero(owner < 0)[0])]
-                d = _distances(self.points[members], self.points[head : head + 1])[:, 0]
-                taken = (d <= level) & (d < np.where(owner < 0, np.inf, near))
-                owner[taken] = len(heads)
-                near[taken] = d[taken]
-                heads.append(head)
+            own_points = self.points[members]
+            open_ = np.flatnonzero(owner < 0)
+            while open_.size:
+                block = open_[:HEADS_AT_ONCE]
+                all_d = _distances(own_points, own_points[block])
+                for k, head in enumerate(block.tolist()):
+                    if owner[head] >= 0:
+                        continue
+                    d = all_d[:, k]
+                    d[head] = 0.0
+                    taken = np.flatnonzero(d <= level)
+                    taken = taken[(owner[taken] < 0) | (d[taken] < near[taken])]
+                    owner[taken] = len(heads)
+                    near[taken] = d[taken]
+                    heads.append(int(members[head]))
+                open_ = open_[owner[open_] < 0]
+            order = np.argsort(owner, kind="stable")
+            bounds = np.searchsorted(owner[order], np.arange(len(heads) + 1))
             for k, head in enumerate(heads):
-                own = owner == k
-                if own.any():
+                own = order[bounds[k] : bounds[k + 1]]
+                if own.size:
                     child = self._node(int(head), float(near[own].max()))
                     self.children[node].append(child)
                     todo.append((child, members[own], near[own], level))
@@ -97,36 +108,30 @@ def dual_pairs(left: CoverTree, right: CoverTree, eps: float) -> Iterator[tuple[
     if not left.centre or not right.centre:
         return
     same = left is right
-    nodes = [(np.array(t.centre), np.array(t.radius)) for t in (left, right)]
-    frontier = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while frontier:
-        a, b = frontier.pop()
-        d = np.linalg.norm(left.points[nodes[0][0][a]] - right.points[nodes[1][0][b]], axis=1)
-        keep = d <= eps + nodes[0][1][a] + nodes[1][1][b]
-        next_a: list[int] = []
-        next_b: list[int] = []
-        for i, j in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
-            mine, theirs = left.members[i], right.members[j]
-            if mine is not None and theirs is not None:
-                close = _distances(left.points[mine], right.points[theirs]) <= eps
-                if same and i == j:
-                    close &= np.arange(mine.size)[:, None] < np.arange(mine.size)[None]
-                x, y = np.nonzero(close)
-                if x.size:
-                    yield mine[x], theirs[y]
-            elif same and i == j:
-                kids = left.children[i]
-                for k, c in enumerate(kids):
-                    next_a += [c] * (len(kids) - k)
-                    next_b += kids[k:]
-            elif theirs is not None or (mine is None and left.radius[i] >= right.radius[j]):
-                next_a += left.children[i]
-                next_b += [j] * len(left.children[i])
-            else:
-                next_a += [i] * len(right.children[j])
-                next_b += right.children[j]
-        for s in range(0, len(next_a), PAIRS_AT_ONCE):
-            frontier.append((np.array(next_a[s : s + PAIRS_AT_ONCE]), np.array(next_b[s : s + PAIRS_AT_ONCE])))
+    (ca, ra), (cb, rb) = ((np.array(t.centre), np.array(t.radius)) for t in (left, right))
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        mine, theirs = left.members[i], right.members[j]
+        if mine is not None and theirs is not None:
+            close = _distances(left.points[mine], right.points[theirs]) <= eps
+            if same and i == j:
+                close = np.triu(close, 1)
+            x, y = np.nonzero(close)
+            if x.size:
+                yield mine[x], theirs[y]
+            continue
+        twin = same and i == j
+        split_left = twin or theirs is not None or (mine is None and ra[i] >= rb[j])
+        kids_a = np.array(left.children[i]) if split_left else np.array([i])
+        kids_b = np.array(right.children[j]) if twin or not split_left else np.array([j])
+        for s in range(0, kids_a.size, HEADS_AT_ONCE):  # a block of children at once, pruned by their covering radii
+            part = kids_a[s : s + HEADS_AT_ONCE]
+            keep = _distances(left.points[ca[part]], right.points[cb[kids_b]]) <= eps + ra[part][:, None] + rb[kids_b][None]
+            if twin:
+                keep = np.triu(keep, s)
+            x, y = np.nonzero(keep)
+            todo += zip(part[x].tolist(), kids_b[y].tolist(), strict=True)
 
 
 def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
