@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embeddings, near_dup, secrets, substrings, toxicity
+from . import bpe, decontamination, embeddings, language, near_dup, secrets, substrings, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op6_near_dup, op8_toxicity, op9_bpe, op10_embedding_pairs)}
+    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op6_near_dup, op7_language, op8_toxicity, op9_bpe, op10_embedding_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:
