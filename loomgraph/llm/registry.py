@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, embeddings, language, near_dup, quality, secrets, substrings, toxicity
+from . import bpe, decontamination, embeddings, language, near_dup, privacy, quality, secrets, substrings, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.sanitised_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op4_quality, op6_near_dup, op7_language, op8_toxicity, op9_bpe, op10_embedding_pairs)}
+    return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op4_quality, op5_privacy, op6_near_dup, op7_language, op8_toxicity, op9_bpe, op10_embedding_pairs)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -75,7 +75,7 @@ def kmers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at - w.offsets[text], mix64(full).view(np.int64)
 
 
-def _paths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _paths(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """``(row, doc_id, edges, starts)`` of each row with an edge."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -91,13 +91,14 @@ def _paths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 where = pa.array(has + run[0])
                 yield pa.RecordBatch.from_arrays([b.column("row").take(where), b.column("doc_id").take(where), pa.ListArray.from_arrays(offsets, pa.array(edge)), pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))], ["row", "doc_id", "edges", "starts"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(scan, f"row long, doc_id {kind}, edges array<long>, starts array<int>")
 
 
-def _repeated(spark, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _repeated(spark, docs: DataFrame, id_col: str, text_col: str, row_col: str | None) -> DataFrame:
     """``(row, doc_id, i, edge, start)`` of each occurrence of an edge that occurs twice or more."""
-    paths = materialize(spark, _paths(docs, id_col, text_col), "paths")
+    paths = materialize(spark, _paths(docs, id_col, text_col, row_col), "paths")
     often = paths.select(F.explode("edges").alias("edge")).groupBy("edge").count().where("count > 1").select("edge")
     all_ = paths.select("row", "doc_id", F.posexplode(F.arrays_zip("edges", "starts")).alias("i", "at")).select("row", "doc_id", "i", F.col("at.edges").alias("edge"), F.col("at.starts").alias("start"))
     found = materialize(spark, all_.join(often, "edge", "left_semi").select("row", "doc_id", "i", "edge", "start"), "repeated")
@@ -139,9 +140,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _spans(docs, id_col, text_col).select("doc_id", "start_word", "words", "copies", "paths", "first", "source_id", "source_word")
 
 
-def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _spans(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
     spark = docs.sparkSession
-    found = _repeated(spark, docs, id_col, text_col)
+    found = _repeated(spark, docs, id_col, text_col, row_col)
     place = F.struct("row", "i", "doc_id", "start")
     known = found.groupBy("edge").agg(F.count("*").alias("copies"), F.min(place).alias("low"), F.max(place).alias("high"))
     by_row = Window.partitionBy("row").orderBy("i")
@@ -173,10 +174,10 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns; from each text the words of later occurrences are cut."""
     spark = docs.sparkSession
-    spans = _spans(docs, id_col, text_col).where("not first").groupBy("row").agg(F.collect_list(F.struct("start_word", "words")).alias("cuts"))
+    # Written once with its row numbers, so that a recomputed scan can't number rows otherwise.
+    packed = materialize(spark, docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("doc_id")), "numbered")
+    spans = _spans(packed, "doc_id", "text", "row").where("not first").groupBy("row").agg(F.collect_list(F.struct("start_word", "words")).alias("cuts"))
     spans = materialize(spark, spans, "cuts")
-    packed = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col(f"`{text_col}`").alias("text"))
-
     @F.pandas_udf(StringType())
     def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if c is None or t is None else _cut(t, [(x["start_word"], x["words"]) for x in c]) for t, c in zip(texts, cuts, strict=True)], dtype=object)
