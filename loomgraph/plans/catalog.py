@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graph_queries, table_queries
+
+_PARTS = (graph_queries, table_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for p in _PARTS for k, v in p.SQL.items()}
