@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import strings_by_size
 
@@ -209,14 +210,15 @@ def with_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCAB
     """The rows with their ids and token count, in place of columns of those names."""
     kept = [c for c in docs.columns if c.lower() not in (ids_col.lower(), count_col.lower())]
     encode = encoding(docs, vocabulary)
-    schema = docs.select(*kept).schema.add(count_col, "int").add(ids_col, "array<int>")
+    rest = docs.select(*(F.col(f"`{c}`") for c in kept))
+    schema = StructType([*rest.schema.fields, StructField(count_col, IntegerType()), StructField(ids_col, ArrayType(IntegerType()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, n_tokens, ids, _ in encode(b.column(text_col)):
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(ids)) for c in kept), n_tokens, ids], [*kept, count_col, ids_col])
 
-    return docs.select(*kept).mapInArrow(scan, schema)
+    return rest.mapInArrow(scan, schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
