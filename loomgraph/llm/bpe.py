@@ -212,13 +212,15 @@ def with_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCAB
     encode = encoding(docs, vocabulary)
     rest = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = StructType([*rest.schema.fields, StructField(count_col, IntegerType()), StructField(ids_col, ArrayType(IntegerType()))])
+    place = kept.index(text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, n_tokens, ids, _ in encode(b.column(text_col)):
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(ids)) for c in kept), n_tokens, ids], [*kept, count_col, ids_col])
+            for at, n_tokens, ids, _ in encode(b.column(place)):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, len(ids)) for i in range(len(kept))), n_tokens, ids], schema.names)
 
-    return rest.mapInArrow(scan, schema)
+    # By place: names with dots don't resolve there.
+    return rest.toDF(*(f"c{i}" for i in range(len(kept)))).mapInArrow(scan, schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:

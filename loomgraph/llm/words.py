@@ -75,7 +75,7 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     total = w.hashes.size
     with np.errstate(over="ignore"):
         h = np.zeros(total, np.uint64)
-        for k in range(n):
+        for k in range(min(n, total)):
             part = w.hashes[k:]
             h[: total - k] = h[: total - k] * np.uint64(0xD6E8FEB86659FD93) + part
     last = np.repeat(w.offsets[1:], np.diff(w.offsets))

@@ -69,3 +69,10 @@ def test_bpe_replaces_its_own_columns(spark, docs):
     out = bpe.with_tokens(docs)
     assert out.columns[-2:] == ["n_tokens", "token_ids"] and out.columns.count("token_ids") == 1
     assert out.count() == len(ROWS)
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_one_short_document(spark, name):
+    for text in ("ab", "one two", None):
+        one = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+        assert REPORTS[name](spark, one).count() == (1 if name in ("quality", "language", "bpe") else 0)
