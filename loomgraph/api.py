@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .extract import lexical, project
+from .lineage import cut
 from .operators import feedback, health, knowledge, ranges, rank, traverse
 from .sources import files as tree
 from .sources import manifest, symbols
@@ -48,7 +49,7 @@ class Client:
 
     def index_documents(self, docs: DataFrame) -> dict:
         """Upserts specs and decisions of ``docs(content, fallback_id, ordinal)``."""
-        parsed = knowledge.parse_documents(docs)
+        parsed = cut(knowledge.parse_documents(docs), "parsed")
         nodes, edges = knowledge.nodes(parsed), knowledge.edges(parsed)
         batches = {}
         for label, column in (("Spec", "status"), ("Decision", "date")):

@@ -31,9 +31,9 @@ def front_matter(content: Column) -> tuple[Column, Column]:
     lines = F.filter(F.transform(F.split(F.regexp_extract(text, FRONT, 1), r"\r?\n"), strip), lambda x: x.rlike(r"^[A-Za-z0-9_-]+\s*:"))
     value = lambda x: F.regexp_replace(strip(F.regexp_extract(x, r"(?s)^[A-Za-z0-9_-]+\s*:\s*(.*)$", 1)), "^[\"']|[\"']$", "")
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([A-Za-z0-9_-]+)\s*:", 1).alias("key"), value(x).alias("value")))
-    # Last key wins without a session setting: keep an entry when no later one has its key.
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
-    fields = F.when(has, F.map_from_entries(last)).otherwise(F.create_map().cast("map<string,string>"))
+    # Last key wins without a session setting.
+    merged = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["key"]), F.create_map(p["key"], p["value"])))
+    fields = F.when(has, merged).otherwise(F.create_map().cast("map<string,string>"))
     return fields, F.when(has, F.regexp_extract(text, FRONT, 2)).otherwise(text)
 
 

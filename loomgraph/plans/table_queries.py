@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import cut
 from ..operators import feedback, health, knowledge, merge, resolve
 from . import driver as D
 from .driver import table
@@ -42,8 +43,13 @@ nodes AS (SELECT id, CASE WHEN id LIKE 'SPEC%' THEN 'Spec' ELSE 'Decision' END A
   UNION ALL SELECT DISTINCT ref, CASE WHEN ref LIKE 'SPEC%' THEN 'Spec' ELSE 'Decision' END, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), 'referenced' FROM refs WHERE ref NOT IN (SELECT id FROM parsed WHERE id IS NOT NULL))"""
 
 
+def _parsed(spark, sf):
+    """Parsed once, as nodes and counts read it several times."""
+    return cut(knowledge.parse_documents(_docs(spark, sf)), "parsed")
+
+
 def src07_knowledge_nodes(spark, sf):
-    return knowledge.nodes(knowledge.parse_documents(_docs(spark, sf)))
+    return knowledge.nodes(_parsed(spark, sf))
 
 
 def sf10_knowledge_edges(spark, sf):
@@ -55,11 +61,11 @@ def sf09_parse_knowledge(spark, sf):
 
 
 def agg11_knowledge_counts(spark, sf):
-    return knowledge.counts(knowledge.parse_documents(_docs(spark, sf)))
+    return knowledge.counts(_parsed(spark, sf))
 
 
 def join25_stubs(spark, sf):
-    return knowledge.nodes(knowledge.parse_documents(_docs(spark, sf))).where("origin = 'referenced'").select("id", "label")
+    return knowledge.nodes(_parsed(spark, sf)).where("origin = 'referenced'").select("id", "label")
 
 
 def agg07_unresolved_clusters(spark, sf):
