@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graph_queries, table_queries
+from . import extract_queries, graph_queries, table_queries
 
-_PARTS = (graph_queries, table_queries)
+_PARTS = (graph_queries, table_queries, extract_queries)
 
 
 def queries() -> dict:
