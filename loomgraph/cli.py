@@ -62,6 +62,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--depth", default=2)
     c.add_argument("--limit", default=10)
     sub.add_parser("query").add_argument("sql")
+    sub.add_parser("mcp")
     sub.add_parser("serve").add_argument("--port", type=int, default=8787)
     return p
 
@@ -115,6 +116,10 @@ def dispatch(client: api.Client, args: argparse.Namespace) -> object:
             return plain(client.query(args.sql))
         case "serve":
             serve(client, args.port)
+        case "mcp":
+            from . import tools
+
+            tools.serve(client)
     return None
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph import cli
+from loomgraph import cli, tools
 from loomgraph.api import Client, doctor
 from loomgraph.sources.files import in_memory, read_tree
 from loomgraph.store import GraphStore, graph_path
@@ -107,3 +107,13 @@ def test_tree(spark, tmp_path):
     (tmp_path / "node_modules" / "b.ts").write_text("x")
     assert [(r["path"], r["language"]) for r in read_tree(spark, str(tmp_path)).collect()] == [("src/a.ts", "typescript")]
     assert len(doctor()["languages"]) == 13
+
+
+def test_tools(client):
+    ask = lambda m, **p: tools.handle(client, {"id": 1, "method": m, "params": p})
+    assert len(ask("tools/list")["result"]["tools"]) == 11
+    told = ask("tools/call", name="call_chain", arguments={"symbol": "helper", "direction": "callers"})["result"]
+    assert not told["isError"] and "a.ts#execute" in told["content"][0]["text"]
+    assert ask("tools/call", name="ingest_feedback", arguments={"nodeId": "nobody", "type": "test_fail"})["result"]["isError"]
+    assert ask("tools/call", name="nothing")["result"]["isError"] and ask("nothing")["error"]["code"] == -32601
+    assert tools.handle(client, {"method": "notifications/initialized"}) is None
