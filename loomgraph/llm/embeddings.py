@@ -4,12 +4,12 @@ Vectors are scaled to length 1, so a cosine of ``threshold`` is the distance
 ``eps = sqrt(2 - 2 * threshold)``. Points go to the nearest of a net of centres; the number of centres
 follows the number of points, so cells keep about ``CELL_POINTS`` points. A partner of point ``p`` in
 another cell lies in one whose centre is at most ``d(p, own centre) + 2 * eps`` away, by the triangle
-inequality, so ``p`` visits just those cells with a smaller number than its own: every pair meets once.
+inequality, so ``p`` visits just those; of two cells the parity of their numbers says which one the pair meets in.
 
-In each cell the home points and the visitors get a cover tree each: nested levels, the radius halves
-from level to level, each point of a level within the radius of its parent. Both trees are traversed
+In each cell the home points get a cover tree, and so do the visitors of each other cell: nested levels, the radius halves
+from level to level, each point of a level within the radius of its parent. Two trees are traversed
 together; a pair of nodes whose distance is more than ``eps`` plus both covering radii is pruned, of
-the rest the wider node is split, down to leaves that are compared exactly. The result is exactly the
+the rest both are split, down to leaves that are compared exactly. The result is exactly the
 pairs within the threshold, whichever centres were drawn.
 
 Defined results: null vectors, and those that are empty, hold a null or a non-finite number, have no
@@ -21,6 +21,7 @@ columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -122,9 +123,8 @@ def dual_pairs(left: CoverTree, right: CoverTree, eps: float) -> Iterator[tuple[
                 yield mine[x], theirs[y]
             continue
         twin = same and i == j
-        split_left = twin or theirs is not None or (mine is None and ra[i] >= rb[j])
-        kids_a = np.array(left.children[i]) if split_left else np.array([i])
-        kids_b = np.array(right.children[j]) if twin or not split_left else np.array([j])
+        kids_a = np.array([i] if mine is not None else left.children[i])
+        kids_b = np.array([j] if theirs is not None else right.children[j])
         for s in range(0, kids_a.size, HEADS_AT_ONCE):  # a block of children at once, pruned by their covering radii
             part = kids_a[s : s + HEADS_AT_ONCE]
             keep = _distances(left.points[ca[part]], right.points[cb[kids_b]]) <= eps + ra[part][:, None] + rb[kids_b][None]
@@ -173,27 +173,30 @@ def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             for s in range(0, at.size, 4096):
                 d = _distances(unit[s : s + 4096], net.value)
                 own = d.argmin(1)
-                visits = (d <= d[np.arange(len(d)), own][:, None] + 2 * eps + SLACK) & (np.arange(d.shape[1])[None] < own[:, None])
+                there, here = np.arange(d.shape[1])[None], own[:, None]
+                meets = np.where((there + here) % 2 == 1, there < here, there > here)  # each pair of cells meets in one of them, evenly spread
+                visits = (d <= d[np.arange(len(d)), own][:, None] + 2 * eps + SLACK) & meets
                 visits[np.arange(len(d)), own] = True
                 p, cell = np.nonzero(visits)
                 where = pa.array(at[s : s + 4096][p])
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == own[p]), b.column("id").take(where), b.column("v").take(where)], ["cell", "home", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(own[p].astype(np.int32)), b.column("id").take(where), b.column("v").take(where)], ["cell", "own", "id", "v"])
 
-    cells = rows.mapInArrow(assign, f"cell int, home boolean, id {kind}, v array<float>")
+    cells = rows.mapInArrow(assign, f"cell int, own int, id {kind}, v array<float>")
 
     def join_cell(cell: pd.DataFrame) -> Iterator[pd.DataFrame]:
         unit = np.stack(cell["v"].to_numpy()).astype(np.float64)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        home = cell["home"].to_numpy(bool)
+        owner = cell["own"].to_numpy()
         ids = cell["id"].to_numpy()
-        own = np.flatnonzero(home)
+        own = np.flatnonzero(owner == cell["cell"].to_numpy())
         if not own.size:
             return
         tree = CoverTree(unit[own])
-        sides = [(own, tree)]
-        if not home.all():
-            guests = np.flatnonzero(~home)
-            sides.append((guests, CoverTree(unit[guests])))
+        # Visitors from one cell lie close together: a tree for each cell they come from.
+        away = np.argsort(owner, kind="stable")
+        away = away[owner[away] != cell["cell"].iloc[0]]
+        guests = np.split(away, np.flatnonzero(np.diff(owner[away])) + 1) if away.size else []
+        sides = itertools.chain([(own, tree)], ((g, CoverTree(unit[g])) for g in guests))
         for index, other in sides:
             for x, y in dual_pairs(tree, other, eps):
                 p, q = own[x], index[y]
