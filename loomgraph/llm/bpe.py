@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import strings_by_size
+from .common import release, strings_by_size
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-PIECES_KEPT = 600_000
-PAIRS_KEPT = 2_000_000
-CHARS_AT_ONCE = 4_000_000
+PIECES_KEPT = 300_000
+PAIRS_KEPT = 500_000
+CHARS_AT_ONCE = 2_000_000
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -202,6 +202,7 @@ def encoding(docs: DataFrame, vocabulary: str = VOCABULARY):
             no = np.array([t is None for t in some])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=pa.array(no)) if no.any() else pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield run[0], pa.array(sizes), lists, pa.array(exact)
+        release()
 
     return encode
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import strings_by_size
+from .common import release, strings_by_size
 from .words import grams, split_words
 
 LEAST_WORDS = 13
@@ -219,6 +219,7 @@ def _affected(shared, least: int):
         for run in strings_by_size((t or "" for t in texts), SHARD_CHARS):
             for i, *_ in matches([texts[i] for i in run], shared.value, least):
                 out[run[i]] = True
+        release()
         return pd.Series(out)
 
     return affected

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, mix64, strings_by_size
+from .common import discard, materialize, mix64, release, strings_by_size
 from .words import grams, split_words
 
 SHINGLE = 2
@@ -75,6 +75,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                 at, shingles, _ = shingle_sets([some[i] for i in run])
                 held += np.bincount(np.unique((at << BUCKET_BITS) | _bucket(shingles)) & ((1 << BUCKET_BITS) - 1), minlength=held.size)
                 rows += len(run)
+            release()
         if rows:
             parts = [held[i : i + _SLICE].tobytes() for i in range(0, held.size, _SLICE)]
             yield pa.RecordBatch.from_arrays([pa.array([*range(len(parts)), -1], pa.int32()), pa.array([*parts, np.int64(rows).tobytes()], pa.binary())], ["part", "counts"])
@@ -180,6 +181,7 @@ def _bands(texts: DataFrame, idf) -> DataFrame:
                 nodes = b.column("node").slice(run[0], len(run)).filter(pa.array(has))
                 keys = keys[has]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())), nodes], ["keys", "node"])
+            release()
 
     return texts.mapInArrow(draw, "keys array<long>, node long")
 
@@ -213,6 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
             if out:
                 x, y, z = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.float64())], ["a", "b", "similarity"])
+            release()
 
     return parts.select("a", "b", "text").mapInArrow(compare, "a long, b long, similarity double")
 
@@ -289,7 +292,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = _groups(docs, id_col, text_col, threshold).select("node", "low", "group_id")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     packed = docs.select(whole, F.col(f"`{id_col}`").alias("doc_id"), F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(text_col)).alias("node"))
-    joined = packed.join(groups, "node", "left")
+    # The groups grow with the rows: one plan at every size, no broadcast where they happen to be few.
+    joined = packed.join(groups.hint("merge"), "node", "left")
     ids = docs.where(F.col(text_col).isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_col).alias("node"))
     repeated = ids.join(groups.where("low = group_id"), "node").where("doc_id = group_id").groupBy("group_id").count().where("count > 1").select("group_id")
     repeated = materialize(docs.sparkSession, repeated, "repeated")
