@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontamination, near_dup, secrets, toxicity
-from loomgraph.llm.common import discard, materialize, table
+from loomgraph.llm.common import discard, has_table, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.clean_documents(docs)
+    """Words are learnt from ``labels`` where the folder has that table."""
+    return toxicity.clean_documents(docs, labels=table(spark, sf_dir, "labels") if has_table(spark, sf_dir, "labels") else None)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

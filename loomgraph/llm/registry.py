@@ -39,7 +39,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxic_documents(table(spark, sf_dir, "documents"))
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,14 @@ intention, intensifier, clause end, other). Small transducers rewrite the class
 negation cancels an insult or threat a few words later, reported speech tones it down, a target
 nearby sharpens it, a threat counts only with its target. Their composition is one dense
 transition table, which each clause holding a trigger word runs through. Clauses without a
-trigger score 0 under every path of the grammar, so they are never tokenised.
+trigger score 0 under every path of the grammar, so they are never run.
 
-Defined results: a null or empty text scores 0; every matched clause of a text counts, however
+The lexicon is a start in five languages; where labelled documents are given, mild insults are also
+learnt from them: words whose log ratio of toxic to clean documents is ``RATIO`` or more in one
+language, and over all labels too, and that stand in toxic documents of that language between ``SUPPORT``
+different pairs of neighbours (copies of a document are no evidence). A learnt word is as strong as a mild insult, so that one by itself, without a target, makes no document toxic.
+
+Defined results: a null or empty text scores 0; without labels of both kinds nothing is learnt; every matched clause of a text counts, however
 long the text; a repeated row is scored like the first; an empty table gives an empty result;
 columns other than the id and the text are ignored. A document is toxic when its score is at
 least ``threshold``; a score equal to it is toxic.
@@ -15,7 +20,9 @@ least ``threshold``; a score equal to it is toxic.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +34,10 @@ from pyspark.sql.types import DoubleType
 from .common import batches_of
 
 THRESHOLD = 1.0
+RATIO = 3.0
+SUPPORT = 4
+LEARNT_AT_MOST = 100_000
+BROADCAST_LABELS = 2_000_000
 OTHER, STRONG, MILD, THREAT, TARGET, NEG, REPORT, INTENT, VERY, END = range(10)
 # Rewritten classes; the last transducer gives their weights.
 CANCELLED, STRONG_REP, MILD_REP, THREAT_REP, STRONG_HIT, MILD_HIT, THREAT_HIT, STRONG_REP_HIT, MILD_REP_HIT, THREAT_REP_HIT = range(10, 20)
@@ -46,7 +57,8 @@ CLASS = {w: c for c, words in LEXICON.items() for w in words.split()}
 CLASS |= {w.replace("'", "’"): c for w, c in CLASS.items() if "'" in w}
 WEIGHT = {STRONG: 1.0, MILD: 0.6, STRONG_HIT: 1.5, MILD_HIT: 1.0, THREAT_HIT: 2.0, STRONG_REP: 0.25, MILD_REP: 0.15, STRONG_REP_HIT: 0.35, MILD_REP_HIT: 0.25, THREAT_REP_HIT: 0.5}
 
-_TRIGGER = re.compile(r"\b(?:" + "|".join(sorted((w for c in (STRONG, MILD, THREAT) for w in LEXICON[c].split()), key=len, reverse=True)) + r")\b", re.IGNORECASE)
+TRIGGERS = frozenset(w for c in (STRONG, MILD, THREAT) for w in LEXICON[c].split())
+_PART = re.compile(r"\w+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _END = re.compile(r"[.!?;\n]+")
 
@@ -142,43 +154,112 @@ def weighing() -> Transducer:
 GRAMMAR = negation() >> reported() >> targeted() >> weighing()
 
 
-def score_text(text: str | None) -> tuple[float, int]:
+def score_text(text: str | None, learnt: frozenset[str] = frozenset()) -> tuple[float, int]:
     """Score and number of matched clauses."""
-    if not text or not _TRIGGER.search(text):
+    if not text or not _triggered(low := text.lower(), learnt):
         return 0.0, 0
-    total, matched, at = 0.0, 0, 0
-    for m in _TRIGGER.finditer(text):
-        if m.start() < at:
-            continue  # in a clause that is already scored
-        begin = at
-        for e in _END.finditer(text, at, m.start()):
-            begin = e.end()
-        end = _END.search(text, m.end())
-        at = end.start() if end else len(text)
-        w, hits = GRAMMAR.run([CLASS.get(x, OTHER) for x in _WORD.findall(text[begin:at].lower())])
+    total, matched = 0.0, 0
+    for clause in _END.split(low):
+        if not _triggered(clause, learnt):
+            continue
+        w, hits = GRAMMAR.run([CLASS.get(x) or (MILD if x in learnt else OTHER) for x in _WORD.findall(clause)])
         if hits:
             total += w
             matched += 1
     return total, matched
 
 
-def toxicity_score(text: Column) -> Column:
+def _triggered(low: str, learnt: frozenset[str]) -> bool:
+    parts = _PART.findall(low)
+    return not TRIGGERS.isdisjoint(parts) or not (learnt.isdisjoint(parts) and learnt.isdisjoint(_WORD.findall(low)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id", label_col: str = "toxic") -> frozenset[str]:
+    """The words that mark toxic documents; counts are exact and run over all labelled documents, of toxic ones by surroundings."""
+    marks = labels.select(F.col(label_id).alias("label_id"), F.col(label_col).cast("double").alias("label")).where("label_id is not null and label is not null")
+    marks = marks.groupBy("label_id").agg((F.avg("label") > 0.5).alias("toxic"))
+    # A label is a few bytes; beyond this number of them both sides shuffle.
+    small = marks.count() <= BROADCAST_LABELS
+    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
+    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null")
+    rows = texts.join(F.broadcast(marks) if small else marks, "label_id").select("lang", "text", "toxic")
+    sizes = {(r["lang"], r["toxic"]): r["n"] for r in rows.groupBy("lang", "toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = (sum(n for (_, t), n in sizes.items() if t == x) for x in (True, False))
+    if not n_toxic or not n_clean:
+        return frozenset()
+    often = _surroundings(rows.where("toxic")).where(F.col("around") >= SUPPORT).orderBy(F.desc("around"), "lang", "word").limit(LEARNT_AT_MOST).collect()
+    in_toxic = {(r["lang"], r["word"]): r["around"] for r in often if r["word"] not in CLASS}
+    if not in_toxic:
+        return frozenset()
+    wanted = frozenset(w for _, w in in_toxic)
+    in_clean = {(r["lang"], r["word"]): r["docs"] for r in _document_counts(rows.where("not toxic"), wanted).collect()}
+    all_toxic, all_clean = Counter(), Counter()
+    for held, total in ((in_toxic, all_toxic), (in_clean, all_clean)):
+        for (_, w), n in held.items():
+            total[w] += n
+
+    def ratio(toxic: int, of_toxic: int, clean: int, of_clean: int) -> float:
+        return math.log((toxic + 0.5) / (of_toxic + 1)) - math.log((clean + 0.5) / (of_clean + 1))
+
+    return frozenset(
+        w
+        for (lang, w), n in in_toxic.items()
+        if ratio(n, sizes[lang, True], in_clean.get((lang, w), 0), sizes.get((lang, False), 0)) >= RATIO
+        and ratio(all_toxic[w], n_toxic, all_clean[w], n_clean) >= RATIO
+    )
+
+
+def _surroundings(rows: DataFrame) -> DataFrame:
+    """``(lang, word, around)``: between how many pairs of neighbours each word first stands in a document."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: set[tuple[str, str, str]] = set()
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                words = ["", *_WORD.findall(text.lower()), ""]
+                first = {w: k for k, w in reversed([*enumerate(words)][1:-1])}
+                held.update((lang, w, f"{words[k - 1]} {words[k + 1]}") for w, k in first.items())
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], ["lang", "word", "pair"])
+
+    found = rows.select("lang", "text").mapInArrow(scan, "lang string, word string, pair string")
+    return found.select("lang", "word", F.xxhash64("pair").alias("pair")).distinct().groupBy("lang", "word").agg(F.count("*").alias("around"))
+
+
+def _document_counts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """``(lang, word, docs)``: how many documents of a language hold each of the words."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: Counter[tuple[str, str]] = Counter()
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                held.update((lang, w) for w in shared.value.intersection(_WORD.findall(text.lower())))
+            if held:
+                langs, words = zip(*held, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(held.values(), pa.int64())], ["lang", "word", "docs"])
+
+    return rows.select("lang", "text").mapInArrow(scan, "lang string, word string, docs long").groupBy("lang", "word").agg(F.sum("docs").alias("docs"))
+
+
+def toxicity_score(text: Column, learnt: frozenset[str] = frozenset()) -> Column:
     """The score as a column, for filters that keep whole rows."""
-    return _score(text)
 
+    @F.pandas_udf(DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([score_text(t, learnt)[0] for t in texts], dtype="float64")
 
-@F.pandas_udf(DoubleType())
-def _score(texts: pd.Series) -> pd.Series:
-    return pd.Series([score_text(t)[0] for t in texts], dtype="float64")
+    return score(text)
 
 
-def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, score, clauses)`` of each row whose score reaches the threshold. One scan, no shuffle."""
+def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, labels: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, score, clauses)`` of each row whose score reaches the threshold. One scan after learning, no shuffle of texts."""
     kind = docs.schema[id_col].dataType.simpleString()
+    learnt = frozenset() if labels is None else learn(docs, labels, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in batches_of(batches, "text"):
-            found = [score_text(t) for t in texts]
+            found = [score_text(t, learnt) for t in texts]
             keep = [i for i, (s, _) in enumerate(found) if s >= threshold]
             if keep:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(keep)), pa.array([round(found[i][0], 4) for i in keep]), pa.array([found[i][1] for i in keep], pa.int32())], ["doc_id", "score", "clauses"])
@@ -186,6 +267,7 @@ def toxic_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, f"doc_id {kind}, score double, clauses int")
 
 
-def clean_documents(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def clean_documents(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, labels: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """The rows below the threshold, with all their columns."""
-    return docs.where(toxicity_score(F.col(text_col)) < F.lit(threshold))
+    learnt = frozenset() if labels is None else learn(docs, labels, id_col, text_col)
+    return docs.where(toxicity_score(F.col(text_col), learnt) < F.lit(threshold))
