@@ -1,12 +1,16 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 A candidate is the value beside a sensitive key (token, password, API key, ...) or a string of a
-known credential form. Its novelty is the number of bytes it adds to a zstandard frame that holds
+known credential form, of any length: up to the closing quote or to white space, without the punctuation
+that closes it. Its novelty is the number of bytes it adds to a zstandard frame that holds
 its surroundings, compressed with a dictionary primed with code words, placeholder values and the
 identifiers that the corpus itself uses around such keys, the most widespread last, where matches
 are cheapest. What the dictionary or the surroundings already hold compresses away; a random string
 does not. Novelty is measured against what a random string of the same length and alphabet carries
-(half a byte for a hexadecimal digit); values close to that, or above, are reported.
+(half a byte for a hexadecimal digit); values close to that, or above, are reported. Letters and spaces
+alone are measured against a byte a letter, zstandard's price of text that it can't match, so that words
+it knows are no secrets. They are judged where a whole sensitive word and ``=`` or ``:`` stand before them;
+after a mere space they are a sentence's next word (``the secret ingredient``).
 
 The dictionary counts identifiers around every candidate of the corpus, by documents, without
 the candidates' own values, so a leaked value that many copies share stays novel; it is then cut to
@@ -49,18 +53,24 @@ SEED = (
     "your-secret-key YOUR_API_KEY YOUR_TOKEN xxxxxxxxxxxxxxxxxxxxxxxx XXXXXXXXXXXXXXXXXXXXXXXX 00000000000000000000 "
     "1234567890123456789012345678901234567890 0123456789abcdef0123456789abcdef abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ password123 qwertyuiop undefined redacted <redacted> ${SECRET} {{ secrets.TOKEN }} dummy test_token test_secret "
+    "the and for that with this from your you are not have will must should can cannot please enter here when where which there their about into only "
+    "change changed configuration information description documentation authentication authorization administrator application environment development "
+    "production international characteristic characteristically organisation organization understand understanding something anything everything nothing "
+    "required optional invalid empty missing expired incorrect wrong value string number character characters letters digits minimum maximum length least "
+    "never again new old file path name field manager service server client account login reset confirm forgotten stored encrypted hashed random generated "
 )
 _KEYS = ("token", "secret", "passw", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "private_key", "private-key", "auth", "credential", "bearer", "signature")
 _FORMS = ("akia", "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "eyj", "private key-----", "sk-", "sk_live_", "glpat-", "aiza")
 _KEYED = re.compile(
     r"(?<![A-Za-z0-9])(?P<key>[A-Za-z0-9_.-]{0,40}?(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credentials?|bearer|signature)[A-Za-z0-9_.-]{0,40})"
-    r"[\"'\]]?[^\S\n]{0,4}(?:=>|:=|==|=|:|[^\S\n])[^\S\n]{0,4}(?:(?:bearer|basic)[^\S\n]+)?(?:\"(?P<a>[^\"\s]{8,4096})\"|'(?P<b>[^'\s]{8,4096})'|(?P<c>[A-Za-z0-9+/=_.~-]{12,4096}))",
+    r"[\"'\]]?[^\S\n]{0,4}(?P<sep>=>|:=|==|=|:|[^\S\n])[^\S\n]{0,4}(?:(?:bearer|basic)[^\S\n]+)?(?:\"(?P<a>(?:[^\"\\\n]|\\.){8,}+)\"|'(?P<b>(?:[^'\\\n]|\\.){8,}+)'|[\"']?(?P<c>[^\s\"'`<>]{8,}+))",
     re.IGNORECASE,
 )
 _FORMED = re.compile(
-    r"(?<![A-Za-z0-9])(?:(?P<a>(?:AKIA|ASIA)[0-9A-Z]{16})|(?P<b>gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{30,255}|xox[abeprs]-[A-Za-z0-9-]{10,255}|sk[-_](?:live_)?[A-Za-z0-9_-]{20,255}|glpat-[A-Za-z0-9_-]{20,255}|AIza[A-Za-z0-9_-]{30,255})"
+    r"(?<![A-Za-z0-9])(?:(?P<a>(?:AKIA|ASIA)[0-9A-Z]{16})|(?P<b>gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|xox[abeprs]-[A-Za-z0-9-]{10,}|sk[-_](?:live_)?[A-Za-z0-9_-]{20,}|glpat-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,})"
     r"|(?P<c>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?P<d>[A-Za-z0-9+/=\s]{16,}?)-----END"
 )
+_SENSITIVE = re.compile(r"(?i:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|credential|bearer|signature)s?(?![a-z])")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,40}")
 
 
@@ -73,7 +83,9 @@ def candidates(text: str | None) -> list[tuple[int, int, str]]:
     if any(k in low for k in _KEYS):
         for m in _KEYED.finditer(text):
             g = m.lastgroup
-            found.append((m.start(g), m.end(g), m["key"].lower()))
+            value = m[g].rstrip(",;.)]}") if g == "c" else m[g]
+            if len(value) >= 8 and (_mixed(value) or (m["sep"].strip() and _SENSITIVE.search(m["key"]))):
+                found.append((m.start(g), m.start(g) + len(value), m["key"].lower()))
     if any(k in low for k in _FORMS):
         for m in _FORMED.finditer(text):
             g = m.lastgroup
@@ -109,10 +121,9 @@ class Judge:
         out = []
         for start, end, key in candidates(text):
             value = text[start:end]
-            if not _mixed(value):
-                continue
-            around = text[max(0, start - BEFORE) : start] + text[end : end + AFTER]
-            added = self.marginal(around.replace(value, "") + " ", value)  # a value said twice stays novel
+            # A value said twice stays novel, also where the surroundings would end within it.
+            around = text[max(0, start - BEFORE - len(value)) : start].replace(value, "")[-BEFORE:] + text[end : end + AFTER + len(value)].replace(value, "")[:AFTER]
+            added = self.marginal(around + " ", value)
             novelty = added / random_bytes(value)
             if added >= LEAST_BYTES and novelty >= LEAST_NOVELTY:
                 out.append((start, end, key, added, novelty))
@@ -130,6 +141,8 @@ class Judge:
 
 def random_bytes(value: str) -> float:
     """The bytes that a random string of this length over the same alphabet carries."""
+    if _PROSE.fullmatch(value):
+        return float(len(value.encode()))
     for letters, size in _ALPHABETS:
         if letters.fullmatch(value):
             return len(value) * math.log2(size) / 8
@@ -137,10 +150,11 @@ def random_bytes(value: str) -> float:
 
 
 _ALPHABETS = [(re.compile(p), n) for p, n in ((r"[0-9]+", 10), (r"[0-9a-f]+|[0-9A-F]+", 16), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z+/=_-]+", 64), (r"[\x21-\x7e\s]+", 96))]
+_PROSE = re.compile(r"(?:[^\W\d_]|[ ,.'’-])+")
 
 
 def _mixed(value: str) -> bool:
-    """Letters with digits, or three kinds of characters: prose words are never judged."""
+    """Letters with digits, or three kinds of characters: no prose word, whatever stands before it."""
     digit, lower, upper = any(c.isdigit() for c in value), any(c.islower() for c in value), any(c.isupper() for c in value)
     return (digit and (lower or upper)) or (lower and upper and not value.isalpha())
 
