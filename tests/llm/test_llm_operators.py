@@ -65,9 +65,9 @@ def test_repeated_spans_cover_brute_force(spark):
     assert {r["doc_id"] for r in got} == {1, 3, 5, 12, 13}
     for d in (1, 5):
         own = [r for r in got if r["doc_id"] == d]
-        assert len(own) == 1 and own[0]["words"] >= 60 - 2 * substrings.WINDOW and own[0]["first"] == (d == 1) and own[0]["paths"] == 1
+        assert len(own) == 1 and own[0]["words"] == 60 and own[0]["first"] == (d == 1) and own[0]["paths"] == 1
     cut = {r["doc_id"]: r["text"] for r in substrings.without_repeats(frame(spark, texts)).collect()}
-    assert cut[1] == texts[1] and len(words(cut[5])) < 60 and cut[0] == texts[0] and len(cut) == len(texts)
+    assert cut[1] == texts[1] and words(cut[5]) == tokens[5][:30] and cut[0] == texts[0] and len(cut) == len(texts)
 
 
 def test_every_window_of_fifty_has_an_edge():
