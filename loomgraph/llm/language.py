@@ -2,10 +2,11 @@
 
 Text becomes lower-case letters, everything else one space. Every document with a language that isn't
 held out (a tenth by the text's hash) counts towards its language's n-grams of ``ORDER`` characters;
-the counts of lower orders are Kneser-Ney's, the number of different characters seen before. Each
-order's keys are hashes in one sorted array for all languages, beside the discounted probability of
-the n-gram and the weight of the shorter context; a look-up is a binary search. A text's language is
-the one with the lowest cross-entropy per symbol, in bits.
+the counts of lower orders are Kneser-Ney's, the number of different characters seen before. Counts, discounts
+and totals are aggregates over all n-grams, and the model is a table in the shared folder: by language and order the
+hashes of the n-grams in order, beside their discounted probabilities, and those of the contexts beside the weight of the
+shorter context. The driver sees one row for each language and order. Each worker reads the table once into sorted arrays of 12 bytes
+an entry; a look-up is a binary search. A text's language is the one with the lowest cross-entropy per symbol, in bits.
 
 Rejection is calibrated on the held-out documents: by language and length, the median and the 99th
 percentile of the cross-entropy give a bound ``REACH`` times their distance above the median; beyond it
@@ -20,21 +21,27 @@ table gives an empty result; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, mix64, strings_by_size
+from .common import discard, materialize, mix64, strings_by_size
 
 ORDER = 4
 REACH = 4.0
 LEAST_HELD_OUT = 50
 CHARS_AT_ONCE = 2_000_000
+HELD_AT_ONCE = 4_000_000
 UNKNOWN = "und"
 _SPACE = 0x20
+_PARTS = 2 * ORDER + 2
 
 
 def _letters() -> np.ndarray:
@@ -82,7 +89,7 @@ def gram_codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return owner, code
 
 
-def _counts(texts: DataFrame) -> pd.DataFrame:
+def _counts(texts: DataFrame) -> DataFrame:
     """``(lang, code, n)`` over all rows of ``texts(lang, text)``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +99,7 @@ def _counts(texts: DataFrame) -> pd.DataFrame:
             for lang, parts in held.items():
                 total = pd.concat(parts).groupby(level=0).sum()
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(total)), pa.array(total.index.to_numpy().view(np.int64)), pa.array(total.to_numpy(np.int64))], ["lang", "code", "n"])
+            held.clear()
 
         for b in batches:
             langs, some = np.array(b.column("lang").to_pylist(), object), b.column("text").to_pylist()
@@ -104,51 +112,47 @@ def _counts(texts: DataFrame) -> pd.DataFrame:
                     parts.append(pd.Series(np.bincount(at, minlength=unique.size), index=unique))
                     if len(parts) > 16:
                         held[lang] = [pd.concat(parts).groupby(level=0).sum()]
+            if sum(len(p) for parts in held.values() for p in parts) > HELD_AT_ONCE:  # what a task holds has a bound; parts add up later
+                yield from flush()
         yield from flush()
 
-    return texts.mapInArrow(scan, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    return texts.mapInArrow(scan, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def _levels(counts: DataFrame) -> list[DataFrame]:
+    """The n-grams of each order from 1 on; a lower order counts the different characters seen before."""
+    found = [counts]
+    for order in range(ORDER - 1, 0, -1):
+        found.append(found[-1].groupBy("lang", F.col("code").bitwiseAND((1 << (16 * order)) - 1).alias("code")).agg(F.count("*").alias("n")))
+    return found[::-1]
+
+
+@dataclass
 class Model:
-    """All languages' n-grams; order by order, keys sorted, a column per language."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.languages = sorted(counts["lang"].unique())
-        width = len(self.languages)
-        by = {lang: (g["code"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy(np.float64)) for lang, g in counts.groupby("lang")}
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
-        characters = np.unique(np.concatenate([code & np.uint64(0xFFFF) for code, _ in by.values()])) if by else np.zeros(0)
-        self.uniform = 1.0 / (characters.size + 1)
-        level = {lang: by[lang] for lang in self.languages}
-        levels = []
-        for order in range(ORDER, 0, -1):
-            levels.append((order, level))
-            mask = np.uint64((1 << (16 * (order - 1))) - 1)
-            # The next order's counts: how many different characters come before.
-            level = {lang: tuple(np.unique(code & mask, return_counts=True)) for lang, (code, _) in level.items()}
-        for order, level in reversed(levels):
-            grams = np.unique(np.concatenate([c for c, _ in level.values()]))
-            heads = np.unique(grams >> np.uint64(16))
-            a, b = np.zeros((grams.size, width)), np.ones((heads.size, width))
-            for k, lang in enumerate(self.languages):
-                code, n = level[lang]
-                n = n.astype(np.float64)
-                ones, twos = (n == 1).sum(), (n == 2).sum()
-                discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-                head, at = np.unique(code >> np.uint64(16), return_inverse=True)
-                total, kinds = np.bincount(at, n), np.bincount(at)
-                a[np.searchsorted(grams, code), k] = np.maximum(n - discount, 0) / total[at]
-                b[np.searchsorted(heads, head), k] = discount * kinds / total
-            self.grams.append(_sorted_hashes(grams, a, order))
-            self.contexts.append(_sorted_hashes(heads, b, order))
+    """A trained model: a table at ``path`` with ``(language, part, key, value)`` in order; part is twice the order, and one more for contexts."""
+
+    path: str
+    languages: list[str]
+    uniform: float
+
+    def tables(self) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """By language and part the sorted keys and their values; read once by each worker."""
+        have = _loaded.get(self.path)
+        if have is None:
+            _loaded.clear()
+            have = _loaded[self.path] = _read(self.path, len(self.languages))
+        return have
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
         """Base 2, of each distinct n-gram's last symbol in each language."""
+        tables = self.tables()
         p = np.full((codes.size, len(self.languages)), self.uniform)
         for order in range(1, ORDER + 1):
             part = codes & np.uint64((1 << (16 * order)) - 1)
-            p = _look_up(self.grams[order - 1], part, order, 0.0) + _look_up(self.contexts[order - 1], part >> np.uint64(16), order, 1.0) * p
+            grams, of_gram = np.unique(_key(part, order), return_inverse=True)
+            heads, of_head = np.unique(_key(part >> np.uint64(16), order), return_inverse=True)
+            for k, table in enumerate(tables):
+                p[:, k] = _look_up(table[2 * order], grams, 0.0)[of_gram] + _look_up(table[2 * order + 1], heads, 1.0)[of_head] * p[:, k]
         return np.log2(p)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,28 +165,75 @@ class Model:
         return n, bits / np.maximum(n, 1)[:, None]
 
 
-def _key(codes: np.ndarray, order: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix64(codes + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15))
+_loaded: dict[str, list[list[tuple[np.ndarray, np.ndarray]]]] = {}
+
 
+def _read(path: str, languages: int) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """The shards in order, which together are one sorted table."""
+    system, root = pa.fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in system.get_file_info(pa.fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    of, keys, values = [], [], []
+    for f in files:
+        shard = pq.read_table(f, filesystem=system)
+        of.append((shard["language"].to_numpy() * _PARTS + shard["part"].to_numpy()).astype(np.int32))
+        keys.append(shard["key"].to_numpy())
+        values.append(shard["value"].to_numpy())
+    of, keys, values = np.concatenate(of), np.concatenate(keys), np.concatenate(values)
+    bounds = np.searchsorted(of, np.arange(languages * _PARTS + 1))
+    return [[(keys[s:e], values[s:e]) for s, e in zip(bounds[k * _PARTS : (k + 1) * _PARTS], bounds[k * _PARTS + 1 : (k + 1) * _PARTS + 1], strict=True)] for k in range(languages)]
 
-def _sorted_hashes(codes: np.ndarray, values: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = _key(codes, order)
-    by = np.argsort(keys)
-    return keys[by], values[by].astype(np.float32)
 
+def _key(codes: np.ndarray, order: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(codes + np.uint64(order) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-def _look_up(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, order: int, missing: float) -> np.ndarray:
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, missing: float) -> np.ndarray:
     keys, values = table
-    wanted = _key(codes, order)
+    if not keys.size:
+        return np.full(wanted.size, missing)
     at = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
-    return np.where((keys[at] == wanted)[:, None], values[at], missing)
+    return np.where(keys[at] == wanted, values[at], missing)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    spark = docs.sparkSession
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and pmod(xxhash64(text), 10) > 0")
-    counts = _counts(rows)
-    return Model(counts) if len(counts) else None
+    counts = materialize(spark, _counts(rows), "grams")
+    levels = _levels(counts)
+    told = None
+    for order, level in enumerate(levels, 1):
+        some = level.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).withColumn("order", F.lit(order))
+        told = some if told is None else told.unionByName(some)
+    found = told.collect()
+    if not found:
+        discard(counts)
+        return None
+    languages = sorted({r["lang"] for r in found})
+    discount = {(r["lang"], r["order"]): r["ones"] / (r["ones"] + 2 * r["twos"]) if r["ones"] and r["twos"] else 0.5 for r in found}
+    uniform = 1.0 / (levels[0].select("code").distinct().count() + 1)
+    rules = F.broadcast(spark.createDataFrame([(lang, k, order, discount[lang, order]) for k, lang in enumerate(languages) for order in range(1, ORDER + 1)], "lang string, language int, order int, discount double"))
+    entries = None
+    for order, level in enumerate(levels, 1):
+        level = level.join(rules.where(F.col("order") == order), "lang").withColumn("head", F.shiftrightunsigned("code", 16))
+        total = F.sum("n").over(Window.partitionBy("language", "head"))
+        grams = level.select("language", F.lit(2 * order).alias("part"), "code", (F.greatest(F.col("n") - F.col("discount"), F.lit(0.0)) / total).alias("value"))
+        heads = level.groupBy("language", F.col("head").alias("code")).agg((F.first("discount") * F.count("*") / F.sum("n")).alias("value"))
+        both = grams.unionByName(heads.select("language", F.lit(2 * order + 1).alias("part"), "code", "value"))
+        entries = both if entries is None else entries.unionByName(both)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, code = np.asarray(b.column("part")), np.asarray(b.column("code")).view(np.uint64)
+            key = np.zeros(part.size, np.int64)
+            for p in np.unique(part).tolist():
+                key[part == p] = _key(code[part == p], p // 2)
+            yield pa.RecordBatch.from_arrays([b.column("language"), b.column("part"), pa.array(key), pa.array(np.asarray(b.column("value"), np.float32))], ["language", "part", "key", "value"])
+
+    hashed = entries.mapInArrow(keyed, "language int, part int, key long, value float")
+    table = materialize(spark, hashed.repartitionByRange("language", "part", "key").sortWithinPartitions("language", "part", "key"), "model")
+    discard(counts)
+    return Model(table._loom_path, languages, uniform)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reach: float = REACH) -> DataFrame:
@@ -193,10 +244,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("language"), F.lit(None).cast("double").alias("bits"), F.lit(None).cast("double").alias("margin"))
-    shared = spark.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def scan(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             for run in strings_by_size((t or "" for t in texts), CHARS_AT_ONCE):
