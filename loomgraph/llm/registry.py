@@ -47,12 +47,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_pairs(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_links(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_substrings, op3_decontamination, op4_quality, op5_privacy, op6_near_dup, op7_language, op8_toxicity, op9_bpe, op10_embedding_pairs)}
 
 
+#: The other operators' results aren't expressible in SQL.
+SQL = {
+    "op10_embedding_pairs": """
+WITH u AS (SELECT vec_id, embedding::FLOAT[] AS v FROM embeddings),
+c AS (SELECT v, min(vec_id) AS class_id, count(*) AS copies FROM u GROUP BY v),
+l AS (SELECT a.vec_id, count(*) AS links FROM u a JOIN u b ON a.vec_id <> b.vec_id
+      AND list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.95 - 1e-6 GROUP BY a.vec_id)
+SELECT u.vec_id, c.class_id, c.copies, coalesce(l.links, 0) AS links
+FROM u JOIN c ON u.v = c.v LEFT JOIN l ON l.vec_id = u.vec_id
+""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

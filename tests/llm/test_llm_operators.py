@@ -273,9 +273,48 @@ def test_pairs_are_exact(spark, spread):
     centres = rng.normal(size=(60, 16))
     x = (centres[rng.integers(0, 60, 400)] + spread * rng.normal(size=(400, 16))).astype(np.float32)
     x[7] = x[9]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, [1.0, 2.0], 0), (None, x[7].tolist(), 0)]
+    x[11] = 2 * x[12]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, None, 0), (901, [], 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, [1.0, 2.0], 0), (905, [2.0, 4.1], 0), (906, [1.0, None], 0), (None, x[7].tolist(), 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {(r["id_a"], r["id_b"]) for r in embeddings.near_pairs(df, cell_points=50).collect()}
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(np.triu(u @ u.T >= 0.95, 1))), strict=True)) and (7, 9) in got
-    assert embeddings.near_pairs(df.limit(0)).count() == 0
+    near = u @ u.T >= 0.95 - 1e-6
+    np.fill_diagonal(near, False)
+    want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu(near))), strict=True) if 9 not in (i, j)}
+    got = {(r["id_a"], r["id_b"]) for r in embeddings.near_pairs(df, home_points=50).collect()}
+    assert got == want | {(904, 905)}
+    told = {r["vec_id"]: r for r in embeddings.near_links(df, home_points=50).collect()}
+    assert {i: told[i]["links"] for i in range(400)} == dict(enumerate(near.sum(1).tolist()))
+    assert all(told[i]["class_id"] is None and told[i]["links"] == told[i]["copies"] == 0 for i in (900, 901, 902, 903, 906))
+    assert told[904]["links"] == told[905]["links"] == 1 and told[9]["class_id"] == told[7]["class_id"] == 7 and told[9]["copies"] == 2 and told[11]["class_id"] == 11
+    assert len(told) == 407
+    assert embeddings.near_pairs(df.limit(0)).count() == 0 and embeddings.near_links(df.limit(0)).count() == 0
+
+
+def test_hot_cluster_clashing_columns_and_ids_of_text(spark):
+    rng = np.random.default_rng(13)
+    hot = rng.normal(size=8)
+    x = np.concatenate([hot + 0.02 * rng.normal(size=(150, 8)), rng.normal(size=(100, 8)), np.repeat(hot[None], 50, 0)]).astype(np.float32)
+    rows = [(f"v{i:03d}", v.tolist(), 1, 2, "b", 3, 4) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, h1 int, class_id int, bucket string, id int, links int")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95 - 1e-6).sum(1) - 1
+    got = {r["vec_id"]: r for r in embeddings.near_links(df, home_points=20).collect()}
+    assert {k: r["links"] for k, r in got.items()} == {f"v{i:03d}": int(n) for i, n in enumerate(want)}
+    assert got["v299"]["class_id"] == "v250" and got["v250"]["copies"] == 50
+
+
+def test_a_tie_with_the_threshold_is_a_link(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, -1.0])], "vec_id int, embedding array<double>")
+    assert [(r["id_a"], r["id_b"], r["similarity"]) for r in embeddings.near_pairs(df, threshold=0.6).collect()] == [(1, 2, 0.6)]
+
+
+def test_links_equal_their_sql(spark):
+    import duckdb
+
+    from loomgraph.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    embeddings_ = duckdb.sql(f"select * from '{sf}/embeddings.parquet'")  # noqa: F841
+    want = duckdb.sql(registry.SQL["op10_embedding_pairs"].replace("embeddings", "embeddings_")).fetchall()
+    got = registry.op10_embedding_pairs(spark, sf).select("vec_id", "class_id", "copies", "links").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 500
