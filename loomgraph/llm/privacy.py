@@ -2,19 +2,24 @@
 
 Protected entities are e-mail addresses, telephone numbers, card numbers (Luhn-valid), IBANs, social
 security numbers and IP addresses. What else in a text reveals them is learnt from the corpus: for
-each entity value ``e`` and each term ``t`` within ``REACH`` words of it, the pointwise mutual information
+each entity ``e`` and each term ``t`` of a document that holds it, wherever it stands there, the pointwise mutual information
 ``ln(n(e,t) * N / (n(e) * n(t)))`` over documents is divided by the entity's own information
 ``ln(N / n(e))``. At 1 a term occurs with nothing but this entity, so that reading it discloses as much as
-the value itself. A term whose disclosure is ``DISCLOSURE`` or more, seen in ``SUPPORT`` different
-surroundings at least, goes wherever its entity stands. Counts are exact and run over all documents;
-of equal surroundings one counts for support, so copies of a document are no evidence.
+the value itself. As few documents are little evidence, the share ``n(e,t) / n(t)`` is taken at its lower
+confidence bound (Wilson's, ``Z`` standard errors). A term whose disclosure is ``DISCLOSURE`` or more goes
+wherever its entity stands; so does, once the corpus is large enough for the bound, a word that no other document has. All
+counts are of rows, exact and over all documents, copies among them.
+
+No pairs of entities and terms are formed where the counts can't reach the threshold (``n(t)`` is at most
+``n(e) ** DISCLOSURE * N ** (1 - DISCLOSURE)`` then), and entities that stand in just the same documents, as those of
+an address list do, are one class with one set of counts.
 
 Entities are generalised to their kind (``<EMAIL>``), terms in capitals or with digits to
 ``<NAME>`` or ``<NUMBER>``; other terms are removed.
 
 Defined results: null and empty texts have no entities and stay; long texts are sanitised whole;
-repeated rows are sanitised alike; a disclosure equal to the threshold exceeds it; a corpus of one
-document has no information to go by and only loses its entities; an empty table gives an empty
+repeated rows are sanitised alike; a disclosure equal to the threshold exceeds it; an entity that every
+document holds has no information, so no term discloses it; an empty table gives an empty
 result; other columns, whatever their names, are ignored by the report and kept by sanitisation.
 """
 
@@ -27,16 +32,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
+from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import discard, materialize, release, strings_by_size
+from .words import char_places, split_words
 
-REACH = 8
-SUPPORT = 2
 DISCLOSURE = 0.8
-TERMS_AT_ONCE = 2_000_000
+Z = 1.645
+CHARS_AT_ONCE = 2_000_000
+HELD_AT_ONCE = 2_000_000
 
 _ENTITY = re.compile(
     r"(?P<EMAIL>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
@@ -46,7 +53,6 @@ _ENTITY = re.compile(
     r"|(?<![\w.])(?P<CARD>\d(?:[ -]?\d){12,18})(?![\w]|[.-]\d)"
     r"|(?<![\w.])(?P<PHONE>\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])"
 )
-_WORD = re.compile(r"[^\W_][\w'’-]*")
 _HAS = re.compile(r"@|\d{2}|\d\.\d")
 
 
@@ -80,116 +86,114 @@ def _value(text: str, start: int, end: int) -> int:
     return _hash(re.sub(r"[ ().-]", "", text[start:end].lower()))
 
 
-def _surroundings(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, list[str]]]:
-    """Each entity's value and the terms within reach, without entities."""
-    reach = REACH * 40
-    for start, end, _ in spans:
-        left, right = max(0, start - reach), min(len(text), end + reach)
-        words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text, left, right)]
-        near = [w for w in words if w[1] <= start][-REACH:] + [w for w in words if w[0] >= end][:REACH]
-        yield _value(text, start, end), [w.lower() for a, b, w in near if len(w) > 1 and not any(a < e and s < b for s, e, _ in spans)]
+def _terms(text: str, spans: list[tuple[int, int, str]]) -> np.ndarray:
+    """The distinct words of a text beside its entities, as hashes."""
+    at, parts = 0, []
+    for s, e, _ in spans:
+        parts.append(text[at:s])
+        at = e
+    return np.unique(split_words(["\n".join([*parts, text[at:]])]).hashes)
 
 
-def _cooccurring(rows: DataFrame) -> DataFrame:
-    """``(entity, term, docs, surroundings)`` of what stands near entities, ``term`` null for the entity alone."""
+def _private(docs: DataFrame, columns: list[Column]) -> DataFrame:
+    """``(..., key, text, entities, terms)`` of each row that holds an entity, by hash; ``columns`` end with the text as ``text``."""
+    rows = docs.select(*columns).where(F.col("text").rlike(r"@|[0-9]{2}|[0-9]\.[0-9]")).withColumn("key", F.md5("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            es: list[int] = []
-            ts: list[int | None] = []
-            ss: list[int] = []
-            for text in b.column("text").to_pylist():
+            keep, values, terms = [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 spans = entities(text)
-                if not spans:
-                    continue
-                pairs: dict[tuple[int, int | None], int] = {}
-                for value, near in _surroundings(text, spans):
-                    around = _hash(" ".join(near))
-                    pairs.setdefault((value, None), around)
-                    for t in near:
-                        pairs.setdefault((value, _hash(t)), around)
-                for (e, t), s in pairs.items():
-                    es.append(e)
-                    ts.append(t)
-                    ss.append(s)
-            if es:
-                yield pa.RecordBatch.from_arrays([pa.array(es, pa.int64()), pa.array(ts, pa.int64()), pa.array(ss, pa.int64())], ["entity", "term", "around"])
-
-    found = rows.mapInArrow(scan, "entity long, term long, around long")
-    by_around = found.groupBy("entity", "term", "around").agg(F.count("*").alias("docs"))
-    return by_around.groupBy("entity", "term").agg(F.sum("docs").alias("docs"), F.count("*").alias("surroundings"))
-
-
-def _document_counts(rows: DataFrame, terms: np.ndarray) -> DataFrame:
-    """``(term, docs)``: in how many documents each of the sorted term hashes occurs."""
-    shared = rows.sparkSession.sparkContext.broadcast(terms)
+                if spans:
+                    keep.append(i)
+                    values.append(sorted({_value(text, s, e) for s, e, _ in spans}))
+                    terms.append(_terms(text, spans).view(np.int64))
+            if keep:
+                kept = b.take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(values, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))], [*kept.schema.names, "entities", "terms"])
+
+    inner = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(scan, f"{inner}, entities array<long>, terms array<long>")
+
+
+def _document_counts(texts: DataFrame) -> DataFrame:
+    """``(term, docs)``: in how many rows each word occurs."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(shared.value.size, np.int64)
-        wanted = set(shared.value.tolist())
-        place = {t: i for i, t in enumerate(shared.value.tolist())}
-        known: dict[str, int | None] = {}
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            term, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "docs"])
+
         for b in batches:
-            for text in b.column("text").to_pylist():
-                if not text:
-                    continue
-                hit = set()
-                for w in set(_WORD.findall(text.lower())):
-                    h = known.get(w, 0)
-                    if h == 0:
-                        if len(known) > 500_000:
-                            known.clear()
-                        h = _hash(w)
-                        h = known[w] = place[h] if h in wanted else None
-                    if h is not None:
-                        hit.add(h)
-                for i in hit:
-                    held[i] += 1
-        used = np.flatnonzero(held)
-        if used.size:
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[used]), pa.array(held[used])], ["term", "docs"])
-
-    return rows.mapInArrow(scan, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-
-
-def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``(entity, term, disclosure)`` by hash, of pairs whose disclosure reaches the threshold."""
+            texts_ = b.column("text").to_pylist()
+            for run in strings_by_size(texts_, CHARS_AT_ONCE):
+                w = split_words([texts_[i] for i in run])
+                order = np.lexsort((w.hashes, w.of_text))
+                of, h = w.of_text[order], w.hashes[order]
+                held.append(h[np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1]))] if h.size else h)
+                size += held[-1].size
+                if size > HELD_AT_ONCE:
+                    yield flush()
+                    size = 0
+            release()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(scan, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+
+
+def _lower_bound(hits: Column, n: Column) -> Column:
+    """Wilson's lower bound of the share ``hits / n``."""
+    p, z2 = hits / n, Z * Z
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def disclosures(docs: DataFrame, private: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> DataFrame:
+    """``(key, term, disclosure)``: the terms of each text whose disclosure of one of its entities reaches the threshold, by hash."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).alias("text"))
-    total = rows.count()
-    near = materialize(spark, _cooccurring(rows).where(F.col("term").isNull() | (F.col("surroundings") >= support)), "cooccurring")
-    pairs = near.where("term is not null").select("entity", "term", F.col("docs").alias("both"))
-    counted = None
-    wanted = pairs.select("term").distinct()
-    # Terms with support are few; were they many, they are counted in slices, one pass each.
-    slices = 1 + wanted.count() // TERMS_AT_ONCE
-    for k in range(slices):
-        part = wanted if slices == 1 else wanted.where(F.pmod("term", F.lit(slices)) == k)
-        terms = np.sort(part.toPandas()["term"].to_numpy(np.int64))
-        if terms.size:
-            found = _document_counts(rows, terms)
-            counted = found if counted is None else counted.unionByName(found)
-    if counted is None:
-        return spark.createDataFrame([], "entity long, term long, disclosure double")
-    alone = near.where("term is null").select("entity", F.col("docs").alias("own"))
-    joined = pairs.join(counted, "term").join(alone, "entity")
-    mutual = F.log(F.col("both") * F.lit(float(total)) / (F.col("own") * F.col("docs")))
-    judged = joined.select("entity", "term", F.try_divide(mutual, F.log(F.lit(float(total)) / F.col("own"))).alias("disclosure"))
-    return materialize(spark, judged.where(F.col("disclosure") >= threshold), "disclosing")
-
-
-def sanitised(text: str | None, revealed: set[int]) -> tuple[str | None, int, int]:
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    total = float(texts.count())
+    once = private.groupBy("key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+    once = materialize(spark, once, "entity-documents")
+    held = once.select("key", "copies", F.explode("entities").alias("entity"))
+    # Entities of the same documents are one class, told by two sums over those.
+    marks = held.groupBy("entity").agg(F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.hash("key").cast("long")).alias("y"), F.sum("copies").alias("own"))
+    classes = held.join(marks, "entity").select("key", F.struct("x", "y", "own").alias("entity"), "own").distinct()
+    classes = materialize(spark, classes, "entity-classes")
+    limit = lambda own: F.pow(own, F.lit(threshold)) * total ** (1 - threshold) + 1e-6 if threshold > 0 else F.lit(total)
+    most = classes.groupBy("key").agg(F.max("own").alias("most"))
+    terms = once.join(most, "key").select("key", "copies", "most", F.explode("terms").alias("term"))
+    rare = terms.join(_document_counts(texts), "term").where(F.col("docs") <= limit(F.col("most"))).select("key", "copies", "term", "docs")
+    pairs = rare.join(classes, "key").where(F.col("docs") <= limit(F.col("own")))
+    both = F.sum("copies").over(Window.partitionBy("entity", "term"))
+    judged = pairs.withColumn("both", both).withColumn("share", _lower_bound(F.col("both"), F.col("docs")))
+    information = F.log(F.lit(total) / F.col("own"))
+    judged = judged.select("key", "term", F.try_divide(F.log(F.col("share") * F.lit(total) / F.col("own")), information).alias("disclosure"))
+    found = materialize(spark, judged.where(F.col("disclosure") >= threshold).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
+    discard(once)
+    discard(classes)
+    return found
+
+
+def sanitised(text: str | None, revealed: np.ndarray) -> tuple[str | None, int, int]:
     """The text, the number of entities generalised and of terms generalised or removed; ``revealed`` are term hashes."""
     spans = entities(text)
     if not spans:
         return text, 0, 0
     cuts = [(s, e, f"<{kind}>") for s, e, kind in spans]
     terms = 0
-    if revealed:
-        for m in _WORD.finditer(text):
-            if _hash(m[0].lower()) in revealed and not any(s < m.end() and m.start() < e for s, e, _ in spans):
-                w = m[0]
-                cuts.append((m.start(), m.end(), "<NUMBER>" if any(c.isdigit() for c in w) else "<NAME>" if w[0].isupper() else ""))
+    if revealed.size:
+        w, place = split_words([text]), char_places(text)
+        starts, ends = np.array([s for s, _, _ in spans]), np.array([e for _, e, _ in spans])
+        for k in np.flatnonzero(np.isin(w.hashes.view(np.int64), revealed)).tolist():
+            s, e = place(int(w.starts[k])), place(int(w.ends[k]))
+            if not ((starts < e) & (s < ends)).any():
+                word = text[s:e]
+                cuts.append((s, e, "<NUMBER>" if any(c.isdigit() for c in word) else "<NAME>" if word[0].isupper() else ""))
                 terms += 1
     at, parts = 0, []
     for s, e, mark in sorted(cuts):
@@ -198,47 +202,35 @@ def sanitised(text: str | None, revealed: set[int]) -> tuple[str | None, int, in
     return "".join([*parts, text[at:]]), len(spans), terms
 
 
-def _with_revealed(docs: DataFrame, text_col: str, threshold: float, support: int) -> DataFrame:
-    """``(key, revealed)`` of the texts, by hash, that hold an entity with a disclosing term."""
-    spark = docs.sparkSession
-    pairs = disclosing_terms(docs, text_col, threshold, support)
-
-    @F.pandas_udf("array<long>")
-    def values(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted({_value(t, s, e) for s, e, _ in entities(t)}) if t else [] for t in texts])
-
-    revealed = pairs.groupBy("entity").agg(F.collect_set("term").alias("terms"))
-    rows = docs.select(F.xxhash64(text_col).alias("key"), values(F.col(text_col)).alias("values")).where("size(values) > 0").select("key", F.explode("values").alias("entity"))
-    return materialize(spark, rows.join(revealed, "entity").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("revealed")), "revealed")
+def _revealed(found: DataFrame) -> DataFrame:
+    return found.groupBy("key").agg(F.collect_list("term").alias("revealed"))  # no more than the text has words
 
 
-def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitised_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = DISCLOSURE) -> DataFrame:
     """``(doc_id, text, entities, terms)`` of each row that changes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    revealed = _with_revealed(docs, text_col, threshold, support)
+    private = materialize(docs.sparkSession, _private(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]), "private")
+    revealed = _revealed(disclosures(docs, private, text_col, threshold))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, *sanitised(t, set(r or ()))) for i, (t, r) in enumerate(zip(b.column("text").to_pylist(), b.column("revealed").to_pylist(), strict=True))]
-            out = [x for x in out if x[2]]
-            if out:
-                at, texts, n, terms = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(terms, pa.int32())], ["doc_id", "text", "entities", "terms"])
+            out = [sanitised(t, np.array(r or (), np.int64)) for t, r in zip(b.column("text").to_pylist(), b.column("revealed").to_pylist(), strict=True)]
+            texts, n, terms = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(terms, pa.int32())], ["doc_id", "text", "entities", "terms"])
 
-    rows = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # Only rows that may hold an entity meet the join.
-    rows = rows.where(F.col("text").rlike(r"@|[0-9]{2}|[0-9]\.[0-9]"))
-    return rows.join(revealed, "key", "left").select("doc_id", "text", "revealed").mapInArrow(scan, f"doc_id {kind}, text string, entities int, terms int")
+    return private.select("doc_id", "text", "key").join(revealed, "key", "left").select("doc_id", "text", "revealed").mapInArrow(scan, f"doc_id {kind}, text string, entities int, terms int")
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = DISCLOSURE) -> DataFrame:
     """All rows and columns, the texts sanitised."""
-    revealed = _with_revealed(docs, text_col, threshold, support)
+    private = materialize(docs.sparkSession, _private(docs, [F.col(f"`{text_col}`").alias("text")]), "private")
+    revealed = materialize(docs.sparkSession, _revealed(disclosures(docs, private, f"`{text_col}`", threshold)), "revealed")
+    discard(private)
 
     @F.pandas_udf(StringType())
     def clean(texts: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([sanitised(t, set() if r is None else set(r))[0] for t, r in zip(texts, terms, strict=True)], dtype=object)
+        return pd.Series([sanitised(t, np.array(() if r is None else r, np.int64))[0] for t, r in zip(texts, terms, strict=True)], dtype=object)
 
-    packed = docs.select(F.xxhash64(text_col).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col(f"`{text_col}`").alias("text"))
+    packed = docs.select(F.md5(F.col(f"`{text_col}`")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col(f"`{text_col}`").alias("text"))
     joined = packed.join(revealed, "key", "left").select("kept", clean("text", "revealed").alias("text"))
     return joined.select(*(F.col("text").alias(c) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns))

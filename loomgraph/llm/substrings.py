@@ -30,7 +30,7 @@ and kept by removal. Removal cuts the original text, whose case and bytes elsewh
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import discard, materialize, mix64, strings_by_size
-from .words import grams, split_words
+from .words import char_places, grams, split_words
 
 K = 32
 WINDOW = 19
@@ -257,7 +257,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _cut(text: str, cuts: list[tuple[int, int]]) -> str:
     w = split_words([text])
-    place = _places(text)
+    place = char_places(text)
     at, parts = 0, []
     for start, n in sorted(cuts):
         begin, end = place(int(w.starts[start])), place(int(w.ends[start + n - 1]))
@@ -266,11 +266,3 @@ def _cut(text: str, cuts: list[tuple[int, int]]) -> str:
         parts.append(text[at : max(begin, at)])
         at = end
     return "".join([*parts, text[at:]])
-
-
-def _places(text: str) -> Callable[[int], int]:
-    """From a byte place of the lower-case text to a place of the text, whose characters may be longer or shorter."""
-    if text.isascii():
-        return int
-    sizes = np.cumsum([0, *(len(c.lower().encode("utf-8", "surrogatepass")) for c in text)])
-    return lambda byte: int(np.searchsorted(sizes, byte))

@@ -7,7 +7,7 @@ Python code runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,3 +80,11 @@ def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
             h[: total - k] = h[: total - k] * np.uint64(0xD6E8FEB86659FD93) + part
     last = np.repeat(w.offsets[1:], np.diff(w.offsets))
     return mix64(h), np.arange(total) + n <= last
+
+
+def char_places(text: str) -> Callable[[int], int]:
+    """From a byte place of the lower-case text to a place of the text, whose characters may be longer or shorter."""
+    if text.isascii():
+        return int
+    sizes = np.cumsum([0, *(len(c.lower().encode("utf-8", "surrogatepass")) for c in text)])
+    return lambda byte: int(np.searchsorted(sizes, byte))

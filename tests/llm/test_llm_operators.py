@@ -1,14 +1,12 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import itertools
-import math
 import random
-import re
 
 import numpy as np
 import pytest
 
-from loomgraph.llm import bpe, decontamination, embeddings, language, near_dup, privacy, quality, secrets, substrings, toxicity
+from loomgraph.llm import bpe, decontamination, embeddings, language, near_dup, quality, secrets, substrings, toxicity
 from loomgraph.llm.words import split_words
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
@@ -133,26 +131,6 @@ def test_dual_coordinate_descent_is_optimal():
     assert all(loss(w + d[:5], b + d[5]) >= at - 0.02 for d in rng.normal(scale=0.05, size=(200, 6)))
 
 
-# 5 privacy
-def test_privacy(spark):
-    rng = random.Random(6)
-    texts = [f"{prose(rng, 5)} Zorblatt {prose(rng, 2)} the common anna@mail.example.com {prose(rng, 4)}" for _ in range(4)] + [f"the common {prose(rng, 10)}" for _ in range(20)]
-    texts.append("call +1 (706) 555-3138 or 4644 3483 9801 0899 from 10.2.3.4 in 1999, version 1.2.3")
-    got = {r["doc_id"]: r for r in privacy.sanitised_documents(frame(spark, texts)).collect()}
-    assert set(got) == {0, 1, 2, 3, 24}
-    for i in range(4):
-        assert "anna@" not in got[i]["text"] and "<EMAIL>" in got[i]["text"] and "Zorblatt" not in got[i]["text"] and "<NAME>" in got[i]["text"] and "the common" in got[i]["text"]
-    assert got[24]["text"] == "call <PHONE> or <CARD> from <IP> in 1999, version 1.2.3"
-    pairs = {(r["entity"], r["term"]): r["disclosure"] for r in privacy.disclosing_terms(frame(spark, texts), threshold=-9.0, support=1).collect()}
-    entity = privacy._value("anna@mail.example.com", 0, 21)
-    docs_with = lambda t: sum(t in re.findall(r"[^\W_][\w'’-]*", x.lower()) for x in texts)
-    for term in ("zorblatt", "common"):
-        want = math.log(4 * 25 / (4 * docs_with(term))) / math.log(25 / 4)
-        assert abs(pairs[entity, privacy._hash(term)] - want) < 1e-9
-    whole = {r["doc_id"]: r["text"] for r in privacy.sanitise(frame(spark, texts)).collect()}
-    assert whole[0] == got[0]["text"] and whole[10] == texts[10]
-
-
 # 6 near duplicates
 def test_near_duplicates_are_brute_force(spark):
     rng = random.Random(7)
