@@ -3,28 +3,27 @@
 Every task cuts its rows into shards of about ``SHARD_CHARS`` characters and builds a suffix array of
 each over words (lower case, without punctuation). Only suffixes that share their first ``SEED`` words
 with some test suffix enter, as no other can hold a match; the rest of the text is never sorted.
-Prefix doubling ranks the shard's suffixes together with the test's, so that a binary search among
-the shard's ranks finds every test suffix's place, the ranks of each doubling give the length of a
-common prefix, and the suffixes around that place are the occurrences.
+The test suffixes' ranks by their first 1, 2, 4, 8 words are made once for the whole test set, by prefix doubling. Those of a
+shard's suffixes are looked up among them; sorted by the ranks of their first words they are the array, in which a binary search
+finds every test suffix's place and the suffixes around it are its occurrences. The ranks, a few words at a time, give
+the length of each common prefix.
 
 A match is reported when it is left-maximal and at least ``LEAST_WORDS`` long, or a whole test item of
-fewer words (at least ``SEED``). Each document and item has its longest match, the first of
-equally long ones; documents with any are affected.
+fewer words (at least ``SEED``), or when a text of less than ``SEED`` words is, word for word, a test item. Each document and item has
+its longest match, the first of equally long ones; documents with any are affected.
 
 The test set is broadcast while it has at most ``TEST_CHARS`` characters; a larger one is searched in
 slices below that size, one pass over the training texts each.
 
-Defined results: null or empty texts on either side match nothing; test items of fewer than ``SEED``
-words are too short to tell and match nothing; texts of any length are searched whole; equal items
-are reported each, repeated rows too; empty tables give an empty result, an empty test set affects no
+Defined results: null or empty texts on either side match nothing, nor do texts without words; texts of any length are searched
+whole; equal items are reported each, repeated rows too; empty tables give an empty result, an empty test set affects no
 document; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -33,24 +32,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import release, strings_by_size
-from .words import grams, split_words
+from .common import mix64, release, strings_by_size
+from .words import Words, grams, split_words
 
 LEAST_WORDS = 13
 SEED = 5
 SHARD_CHARS = 4_000_000
-TEST_CHARS = 16_000_000
+TEST_CHARS = 8_000_000
+LEVELS = 4
 
 
 @dataclass
 class TestSet:
-    """The test items as words; ``items`` are their ids as given."""
+    """The test items as words; ``items`` are their ids as given.
+
+    ``ids`` are the words' places in ``vocabulary``, from 1 on, each item closed by 0; ``codes`` has for each level the sorted pairs of
+    ranks of the level before, ``ranks`` each place's own, 0 where the item ends before.
+    """
 
     items: list
-    hashes: np.ndarray
-    offsets: np.ndarray
+    sizes: np.ndarray
     seeds: np.ndarray
     hit: np.ndarray
+    vocabulary: np.ndarray
+    item_of: np.ndarray
+    item_at: np.ndarray
+    ranks: list[np.ndarray]
+    codes: list[np.ndarray] = field(default_factory=list)
+    short: dict[tuple, list[int]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, items: list, texts: list[str | None]) -> TestSet:
@@ -59,103 +68,118 @@ class TestSet:
         seeds = np.unique(h[whole])
         hit = np.zeros(1 << 20, bool)
         hit[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        return cls(items, w.hashes, w.offsets, seeds, hit)
-
-
-def _ranks(symbols: np.ndarray, longest: int) -> list[np.ndarray]:
-    """Rank of the 1, 2, 4, ... symbols from each place on; 0 ends a sequence."""
-    levels = [symbols]
-    k = 1
-    while k < longest:
-        now = levels[-1]
-        ahead = np.zeros_like(now)
-        ahead[:-k] = now[k:]
-        ahead[now == 0] = 0
-        levels.append(np.unique((now.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64), return_inverse=True)[1].astype(np.int64))
-        k *= 2
-    return levels
-
-
-def _common(levels: list[np.ndarray], symbols: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of the suffixes at ``p`` and ``q``, up to the end of either sequence."""
-    ends = np.flatnonzero(symbols == 0)
-    most = np.minimum(ends[np.searchsorted(ends, p)] - p, ends[np.searchsorted(ends, q)] - q)
+        sizes = np.diff(w.offsets)
+        vocabulary, ids = np.unique(w.hashes, return_inverse=True)
+        ids = np.insert(ids.astype(np.int64) + 1, w.offsets[1:], 0)
+        item_of = np.repeat(np.arange(sizes.size), sizes + 1)
+        item_at = np.arange(ids.size) - np.repeat(w.offsets[:-1] + np.arange(sizes.size), sizes + 1)
+        made = cls(items, sizes, seeds, hit, vocabulary, item_of, item_at, [ids.astype(np.int32)])
+        for k in range(LEVELS - 1):
+            pairs = _pairs(made.ranks[-1], 1 << k)
+            made.codes.append(np.unique(pairs[pairs > 0]))
+            made.ranks.append(_look_up(made.codes[-1], pairs))
+        for i in np.flatnonzero((sizes > 0) & (sizes < SEED)).tolist():
+            made.short.setdefault(tuple(w.hashes[w.offsets[i] : w.offsets[i + 1]].tolist()), []).append(i)
+        return made
+
+
+def _pairs(ranks: np.ndarray, step: int) -> np.ndarray:
+    """The rank at each place with that ``step`` places on; 0 where either is none."""
+    ahead = np.zeros_like(ranks)
+    ahead[:-step] = ranks[step:]
+    return np.where((ranks > 0) & (ahead > 0), (ranks.astype(np.int64) << 32) | ahead, 0)
+
+
+def _look_up(codes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places from 1 on among sorted codes, 0 for what isn't there."""
+    if not codes.size:
+        return np.zeros(wanted.size, np.int32)
+    at = np.minimum(np.searchsorted(codes, wanted), codes.size - 1)
+    return np.where(codes[at] == wanted, at + 1, 0).astype(np.int32)
+
+
+def _common(train: list[np.ndarray], test: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many words from ``p`` in a shard and from ``q`` in the test set are equal; both end with 0."""
     total = np.zeros(p.size, np.int64)
-    last = symbols.size - 1
-    for k in range(len(levels) - 1, -1, -1):
+    for k in range(len(train) - 1, -1, -1):
         while True:  # again at the highest level, when the suffixes are longer than that
-            a, b = p + total, q + total
-            same = (np.maximum(a, b) + (1 << k) - 1 <= last) & (total < most)
-            same &= levels[k][np.minimum(a, last)] == levels[k][np.minimum(b, last)]
+            a = train[k][np.minimum(p + total, train[k].size - 1)]
+            same = (a > 0) & (a == test[k][np.minimum(q + total, test[k].size - 1)])
             total[same] += 1 << k
-            if k < len(levels) - 1 or not same.any():
+            if k < len(train) - 1 or not same.any():
                 break
-    return np.minimum(total, most)
+    return total
 
 
 def matches(texts: list[str | None], test: TestSet, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, int]]:
     """``(text index, item index, words, place in text, place in item)``: the longest match of each text and item."""
-    if not test.seeds.size:
-        return []
     w = split_words(texts)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if test.short:
+        counts = np.diff(w.offsets)
+        for t in np.flatnonzero((counts > 0) & (counts < SEED)).tolist():
+            for item in test.short.get(tuple(w.hashes[w.offsets[t] : w.offsets[t + 1]].tolist()), ()):
+                best[t, item] = (-int(counts[t]), 0, 0)
+    if test.seeds.size and w.hashes.size:
+        _long_matches(w, test, least, best)
+    return [(t, i, -s, start, begin) for (t, i), (s, start, begin) in sorted(best.items())]
+
+
+def _long_matches(w: Words, test: TestSet, least: int, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
     h, whole = grams(w, SEED)
     place = np.flatnonzero(whole & test.hit[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-    if not place.size:
-        return []
     at = np.minimum(np.searchsorted(test.seeds, h[place]), test.seeds.size - 1)
     place = place[test.seeds[at] == h[place]]
     if not place.size:
-        return []
-    # The words of all seeds, runs of them closed by 0; then the test items, each closed by 0.
+        return
+    # The words of all seeds, runs of them closed by 0.
     cover = np.zeros(w.hashes.size + 1, np.int64)
     np.add.at(cover, place, 1)
     np.add.at(cover, place + SEED, -1)
     kept = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
     text_of = np.searchsorted(w.offsets, kept, "right") - 1
     new = np.flatnonzero((np.diff(kept) != 1) | (np.diff(text_of) != 0)) + 1
-    words = np.concatenate([test.hashes, w.hashes[kept]])
-    ids = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
-    n_test = test.hashes.size
-    train = np.insert(ids[n_test:], new, 0)
-    origin = np.insert(kept, new, -1)
-    train, origin = np.append(train, 0), np.append(origin, -1)
-    lengths = np.diff(test.offsets)
-    tested = np.insert(ids[:n_test], test.offsets[1:], 0)
-    item_of = np.repeat(np.arange(lengths.size), lengths + 1)
-    item_at = np.arange(tested.size) - np.repeat(test.offsets[:-1] + np.arange(lengths.size), lengths + 1)
-    symbols = np.concatenate([train, tested])
-    longest = int(min(max(lengths.max(), 1), 1 << 20))
-    levels = _ranks(symbols, longest)
-    rank = levels[-1]
-    array = np.flatnonzero(train)
-    array = array[np.argsort(rank[array], kind="stable")]
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    needed = np.where(lengths >= least, least, np.where(lengths >= SEED, lengths, 0))
+    ids = np.append(np.insert(_look_up(test.vocabulary, w.hashes[kept]), new, 0), 0)
+    origin = np.append(np.insert(kept, new, -1), -1)
+    ranks = [ids]
+    for k, codes in enumerate(test.codes):
+        ranks.append(_look_up(codes, _pairs(ranks[-1], 1 << k)))
+    needed = np.where(test.sizes >= least, least, np.where(test.sizes >= SEED, test.sizes, 0))
     for m in sorted(set(needed.tolist()) - {0}):
-        q = np.flatnonzero((needed[item_of] == m) & (item_at + m <= lengths[item_of])) + train.size
-        a = int(math.log2(m))
-        shift = m - (1 << a)
-
-        def prefix(x: np.ndarray, level=levels[a], shift=shift) -> np.ndarray:
-            tail = np.minimum(x + shift, symbols.size - 1)
-            return (level[x].astype(np.uint64) << np.uint64(32)) | level[tail].astype(np.uint64)
-
-        keys, wanted = prefix(array), prefix(q)
+        q = np.flatnonzero((needed[test.item_of] == m) & (test.item_at + m <= test.sizes[test.item_of]))
+        keys, wanted = _prefixes(ranks, m), _prefixes(test.ranks, m)[q]
+        array = np.flatnonzero(keys)
+        array = array[np.argsort(keys[array], kind="stable")]
+        keys = keys[array]
         lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
         n = hi - lo
         q = np.repeat(q, n)
         p = array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        maximal = (p == 0) | (symbols[np.maximum(p - 1, 0)] == 0) | (item_at[q - train.size] == 0) | (symbols[np.maximum(p - 1, 0)] != symbols[q - 1])
+        before = ids[np.maximum(p - 1, 0)]
+        maximal = (p == 0) | (before == 0) | (test.item_at[q] == 0) | (before != test.ranks[0][q - 1])
         p, q = p[maximal], q[maximal]
-        length = _common(levels, symbols, p, q)
-        for start, item, begin, size in zip(origin[p].tolist(), item_of[q - train.size].tolist(), item_at[q - train.size].tolist(), length.tolist(), strict=True):
+        length = _common(ranks, test.ranks, p, q)
+        for start, item, begin, size in zip(origin[p].tolist(), test.item_of[q].tolist(), test.item_at[q].tolist(), length.tolist(), strict=True):
             if size < m:
                 continue
             text = int(np.searchsorted(w.offsets, start, "right")) - 1
             found = (-size, start - int(w.offsets[text]), begin)
             if found < best.get((text, item), (0, 0, 0)):
                 best[text, item] = found
-    return [(t, i, -s, start, begin) for (t, i), (s, start, begin) in sorted(best.items())]
+
+
+def _prefixes(ranks: list[np.ndarray], m: int) -> np.ndarray:
+    """A key of the ``m`` words from each place on, 0 where the text or the test set ends before: two overlapping powers of 2, or more for a long prefix."""
+    level = min(m.bit_length() - 1, len(ranks) - 1)
+    size, key, at = 1 << level, ranks[level].astype(np.int64), 0
+    while at + size < m:
+        at = min(at + size, m - size)
+        ahead = np.zeros_like(key)
+        ahead[: key.size - at] = ranks[level][at:]
+        both = (key > 0) & (ahead > 0)
+        # A pair of ranks fits in 64 bits; a third part would need new ranks.
+        key = np.where(both, (key << 32) | ahead, 0) if at + size >= m and key.max(initial=0) < 1 << 31 else np.where(both, mix64((key.astype(np.uint64) << np.uint64(32)) ^ mix64(ahead.astype(np.uint64))).astype(np.int64) & ((1 << 62) - 1), 0)
+    return key
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[TestSet]:
@@ -180,7 +204,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             t = shared.value
-            sizes = np.diff(t.offsets)
+            sizes = t.sizes
             for b in batches:
                 texts = b.column("text").to_pylist()
                 for run in strings_by_size((x or "" for x in texts), SHARD_CHARS):

@@ -91,17 +91,31 @@ def test_longest_matches_are_brute_force(spark):
     texts[4] = " ".join(items[2].split()[5:25]) + " " + texts[4]
     texts[6] += " " + items[1].upper().replace(" ", ", ")
     texts[7] += " " + items[3]
+    texts += [items[3].upper() + "!", items[3] + " more"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["words"] for r in decontamination.find_contamination(frame(spark, texts), bench).collect()}
     want = {}
     for d, i in itertools.product(range(len(texts)), range(4)):
         a, b = words(texts[d]), words(items[i])
         longest = max((k for k in range(len(b) + 1) for s in range(len(b) - k + 1) if k and any(a[x : x + k] == b[s : s + k] for x in range(len(a) - k + 1))), default=0)
-        if len(b) >= decontamination.SEED and longest >= min(decontamination.LEAST_WORDS, len(b)):
+        if (longest >= min(decontamination.LEAST_WORDS, len(b))) if len(b) >= decontamination.SEED else a == b:
             want[d, i] = longest
-    assert got == want and {(2, 0), (4, 2), (6, 1)} <= set(got)
+    assert got == want and {(2, 0), (4, 2), (6, 1), (10, 3)} <= set(got)
     kept = {r["doc_id"] for r in decontamination.decontaminated(frame(spark, texts), bench).collect()}
-    assert kept == set(range(10)) - {d for d, _ in want}
+    assert kept == set(range(12)) - {d for d, _ in want}
+
+
+def test_ties_take_the_first_match_and_long_prefixes_agree():
+    rng = random.Random(31)
+    item = prose(rng, 40)
+    test = decontamination.TestSet.of([7, 8], [item, item])
+    text = f"{item} stop {item}"
+    assert decontamination.matches([text, text], test) == [(t, i, 40, 0, 0) for t in (0, 1) for i in (0, 1)]
+    for least in (1, 2, 5, 9, 16, 17, 25, 33, 40):
+        assert decontamination.matches([f"x {item} y"], test, least) == [(0, i, 40, 1, 0) for i in (0, 1)]
+    assert not decontamination.matches([" ".join(item.split()[:39])], test, 40)
+    again = decontamination.TestSet.of([1], ["go " * 30])
+    assert decontamination.matches(["go " * 100, "go " * 12], again) == [(0, 0, 30, 0, 0)]
 
 
 # 4 quality
