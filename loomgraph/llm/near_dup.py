@@ -6,7 +6,7 @@
    weighs fully, boilerplate fades. Both are shares of the corpus, so they mean the same at any size.
 2. A second scan draws ``BANDS * ROWS`` consistent weighted samples per document (the pair of element
    and quantised weight that minimises Ioffe's ``a``); bands of them are bucket keys. Equal texts are
-   one node, found by hash.
+   one node, a 64-bit hash; texts that share one by chance are told apart by 64 further bits and get nodes of their own.
 3. In each bucket every node is paired with the bucket's leader, and each pair verified by the exact
    weighted Jaccard similarity of the two documents. Nodes that their leader turns out unlike are then
    paired with everyone in that bucket, so no candidate is skipped; a copy group of any size costs
@@ -16,7 +16,7 @@
 Chance that a pair shares a band: 0.906 at similarity 0.65, 0.963 at 0.7, 0.998 at 0.8.
 
 Defined results: a null text belongs to no group and stays; equal texts, also empty ones, are one group;
-a text of fewer words than a shingle is one shingle; repeated rows are copies of each other; of rows with
+a text of fewer words than a shingle is one shingle of its own words; repeated rows are copies of each other; of rows with
 the smallest id one stays; rows with a null id are in a group only as copies that go; an empty
 table gives an empty result; other columns stay as they are, whatever their names.
 """
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,6 +44,7 @@ TABLE_BITS = 15
 CHARS_AT_ONCE = 2_000_000
 ELEMENTS_AT_ONCE = 16_384
 SALTS = 16
+SEEN_AT_ONCE = 1_000_000
 _SLICE = 4096
 
 
@@ -53,8 +54,9 @@ def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     h, whole = grams(w, SHINGLE)
     sizes = np.diff(w.offsets)
     few = (sizes > 0) & (sizes < SHINGLE)
-    if few.any():
+    if few.any():  # such a text is one word, whatever follows it in the run
         whole[w.offsets[:-1][few]] = True
+        h[w.offsets[:-1][few]] = mix64(w.hashes[w.offsets[:-1][few]])
     code = (w.of_text[whole].astype(np.uint64) << np.uint64(44)) | (h[whole] >> np.uint64(20))
     unique, counts = np.unique(code, return_counts=True)
     return (unique >> np.uint64(44)).astype(np.int64), unique & np.uint64((1 << 44) - 1), counts
@@ -163,16 +165,45 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared / union if union else 0.0
 
 
-def _nodes(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows that take part with their node, the hash of the text."""
-    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+def _node(text_col: str, clashes: list[int]) -> Column:
+    """The node of a text; nodes of ``clashes`` are split by the further bits. Null for a null text."""
+    text = F.col(text_col)
+    node = F.xxhash64(text)
+    if clashes:
+        node = F.when(node.isin(clashes), F.xxhash64(node, _further_bits(text))).otherwise(node)
+    return F.when(text.isNotNull(), node)
+
+
+def _further_bits(text: Column) -> Column:
+    return F.xxhash64(F.lit("second"), text)
+
+
+def _clashes(docs: DataFrame, text_col: str) -> list[int]:
+    """Nodes that different texts share: two or three of ten billion texts by the odds, so the driver holds them."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("node"), _further_bits(F.col(text_col)).alias("more"))
+    both = rows.groupBy("node").agg(F.min("more").alias("low"), F.max("more").alias("high"))
+    return [r["node"] for r in both.where("low != high").select("node").collect()]
+
+
+def _nodes(docs: DataFrame, text_col: str, clashes: list[int]) -> DataFrame:
+    """The rows that take part with their node."""
+    return docs.where(F.col(text_col).isNotNull()).select(_node(text_col, clashes).alias("node"), F.col(text_col).alias("text"))
 
 
 def _bands(texts: DataFrame, idf) -> DataFrame:
-    """``(key, node)``: the bucket keys of each row."""
+    """``(keys, node)``: the bucket keys of each text, at least once."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
+            fresh = []
+            for i, node in enumerate(b.column("node").to_pylist()):  # copies that a task meets are drawn once
+                if node not in seen:
+                    seen.add(node)
+                    fresh.append(i)
+            if len(seen) > SEEN_AT_ONCE:
+                seen.clear()
+            b = b.take(pa.array(fresh, pa.int64()))
             some = b.column("text").to_pylist()
             for run in strings_by_size(some, CHARS_AT_ONCE):
                 at, shingles, counts = shingle_sets([some[i] for i in run])
@@ -244,10 +275,10 @@ def _print_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
 
 
-def verified_pairs(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def verified_pairs(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, clashes: list[int] | None = None) -> DataFrame:
     """``(a, b, similarity)``: verified pairs of nodes that connect each group of unequal texts."""
     spark = docs.sparkSession
-    texts = _nodes(docs, text_col)
+    texts = _nodes(docs, text_col, _clashes(docs, text_col) if clashes is None else clashes)
     idf = spark.sparkContext.broadcast(document_frequencies(docs.select(F.col(text_col).alias("text"))))
     exploded = _bands(texts, idf).dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     led = exploded.select("key", "node", F.min("node").over(Window.partitionBy("key")).alias("leader"), F.max("node").over(Window.partitionBy("key")).alias("last"))
@@ -269,18 +300,19 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``group_id`` is the group's smallest id, the document that stays; ``similarity`` the highest that
     was verified for the row's text, 1 for copies.
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node"))
-    grouped = rows.join(_groups(docs, id_col, text_col, threshold), "node")
+    clashes = _clashes(docs, text_col)
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _node(text_col, clashes).alias("node"))
+    grouped = rows.join(_groups(docs, id_col, text_col, threshold, clashes), "node")
     return grouped.where("doc_id is not null").select("doc_id", "group_id", F.round("similarity", 4).alias("similarity"))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, clashes: list[int]) -> DataFrame:
     """``(node, low, group_id, similarity)`` of each text in a group; ``low`` is the smallest id of its rows."""
     spark = docs.sparkSession
-    pairs = materialize(spark, verified_pairs(docs, text_col, threshold), "pairs")
+    pairs = materialize(spark, verified_pairs(docs, text_col, threshold, clashes), "pairs")
     roots = components(spark, pairs)
     best = pairs.select(F.explode(F.array("a", "b")).alias("node"), "similarity").groupBy("node").agg(F.max("similarity").alias("similarity"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("node"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _node(text_col, clashes).alias("node"))
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     nodes = nodes.join(roots, "node", "left").join(best, "node", "left").where("rows > 1 or root is not null").select("node", "low", "rows", F.coalesce("root", "node").alias("root"), "similarity")
     kept = nodes.groupBy("root").agg(F.min("low").alias("group_id"))
@@ -289,12 +321,13 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that stay, with all their columns."""
-    groups = _groups(docs, id_col, text_col, threshold).select("node", "low", "group_id")
+    clashes = _clashes(docs, text_col)
+    groups = _groups(docs, id_col, text_col, threshold, clashes).select("node", "low", "group_id")
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    packed = docs.select(whole, F.col(f"`{id_col}`").alias("doc_id"), F.when(F.col(f"`{text_col}`").isNotNull(), F.xxhash64(text_col)).alias("node"))
+    packed = docs.select(whole, F.col(f"`{id_col}`").alias("doc_id"), _node(f"`{text_col}`", clashes).alias("node"))
     # The groups grow with the rows: one plan at every size, no broadcast where they happen to be few.
     joined = packed.join(groups.hint("merge"), "node", "left")
-    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text_col).alias("node"))
+    ids = docs.where(F.col(text_col).isNotNull()).select(F.col(f"`{id_col}`").alias("doc_id"), _node(text_col, clashes).alias("node"))
     repeated = ids.join(groups.where("low = group_id"), "node").where("doc_id = group_id").groupBy("group_id").count().where("count > 1").select("group_id")
     repeated = materialize(docs.sparkSession, repeated, "repeated")
     if repeated.isEmpty():

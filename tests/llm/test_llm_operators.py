@@ -180,6 +180,17 @@ def test_near_duplicates_are_brute_force(spark):
     assert kept == {i for i in range(len(texts)) if got.get(i, i) == i}
 
 
+def test_one_word_texts_and_nodes_that_clash(spark):
+    texts = ["Hello", "other text here", "hello.", "HELLO", "lone", "Hello", "one two"]
+    groups = {r["doc_id"]: r["group_id"] for r in near_dup.near_duplicate_groups(frame(spark, texts)).collect()}
+    assert groups == {0: 0, 2: 0, 3: 0, 5: 0}
+    docs = frame(spark, texts)
+    node = {r["doc_id"]: r["n"] for r in docs.select("doc_id", near_dup._node("text", []).alias("n")).collect()}
+    split = {r["doc_id"]: r["n"] for r in docs.select("doc_id", near_dup._node("text", [node[0]]).alias("n")).collect()}
+    assert split[0] == split[5] != node[0] and all(split[i] == node[i] for i in (1, 2, 3, 4, 6))
+    assert near_dup._clashes(docs, "text") == []
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = random.Random(8)
     a = prose(rng, 300)
