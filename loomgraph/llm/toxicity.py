@@ -37,7 +37,7 @@ THRESHOLD = 1.0
 RATIO = 3.0
 SUPPORT = 4
 LEARNT_AT_MOST = 100_000
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 500_000
 OTHER, STRONG, MILD, THREAT, TARGET, NEG, REPORT, INTENT, VERY, END = range(10)
 # Rewritten classes; the last transducer gives their weights.
 CANCELLED, STRONG_REP, MILD_REP, THREAT_REP, STRONG_HIT, MILD_HIT, THREAT_HIT, STRONG_REP_HIT, MILD_REP_HIT, THREAT_REP_HIT = range(10, 20)
@@ -178,7 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The words that mark toxic documents; counts are exact and run over all labelled documents, of toxic ones by surroundings."""
     marks = labels.select(F.col(label_id).alias("label_id"), F.col(label_col).cast("double").alias("label")).where("label_id is not null and label is not null")
     marks = marks.groupBy("label_id").agg((F.avg("label") > 0.5).alias("toxic"))
-    # A label is a few bytes; beyond this number of them both sides shuffle.
+    # A label takes some 60 bytes, so that 30 MB are broadcast at most; beyond this number both sides shuffle.
     small = marks.count() <= BROADCAST_LABELS
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
     texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"), lang.alias("lang")).where("text is not null")
