@@ -36,12 +36,11 @@ class Client:
             self.graph.clear()
         found = project.extract_project(files)
         self.graph.write({t: found[t] for t in ("Function", "Class", "Module", "Spec", "DEFINES", "IMPLEMENTS", "CALLS")})
-        before = manifest.read(self.spark, self.manifest_path)
-        was = before.where(F.col("root") == root).collect() if before is not None else []
-        previous = self.spark.createDataFrame(was, before.schema) if before is not None and was else None
-        healed = health.healing(previous, found["health"]).groupBy("change").count().collect() if previous is not None else []
-        manifest.write_run(found["health"], self.manifest_path, root, clean)
-        counts = found["counts"].first().asDict() | health.summary(found["health"]).first().asDict()
+        now = cut(found["health"], "health")
+        previous = manifest.read_or_none(self.spark, self.manifest_path, root)
+        healed = health.healing(previous, now).groupBy("change").count().collect() if previous is not None else []
+        manifest.write_run(now, self.manifest_path, root, clean)
+        counts = found["counts"].first().asDict() | health.summary(now).first().asDict()
         return counts | {"functions": found["Function"].count(), "calls": found["CALLS"].count(), **{r["change"]: r["count"] for r in healed}}
 
     def index_tree(self, root: str, clean: bool = False) -> dict:
@@ -66,7 +65,10 @@ class Client:
         self.graph.write({"Doc": nodes, "REFERENCES": edges})
 
     def overlay_symbols(self, path: str, files: DataFrame) -> dict:
-        """Adds the call edges of a symbol index over the scopes of ``files``."""
+        """Adds the definitions and call edges of a symbol index over the scopes of ``files``; the counts are those of the index and of what was found.
+
+        Definitions that resolve to the same scope, as overloads do, are one node.
+        """
         occurrences = symbols.read_index(self.spark, path)
         if occurrences.isEmpty():
             raise ValueError(f"{path} holds no documents")
@@ -76,17 +78,27 @@ class Client:
         lines = files.select(F.col("path").alias("file"), F.col("source"))
         last = F.size(F.split(F.left(F.col("source"), F.col("end").cast("int")), "\n"))
         scopes = ids.join(lines, "file").select("id", "file", "kind", F.col("first").cast("int").alias("start"), last.alias("end"), "ordinal")
-        _, edges, counts = ranges.index_edges(occurrences, scopes)
-        self.graph.write({"CALLS": edges})
-        return counts.first().asDict()
+        definitions, edges, counts = ranges.index_edges(occurrences, scopes)
+        nodes = cut(ranges.index_nodes(definitions, ids.join(lines.select("file"), "file").select("id", "file", "kind", "name", F.col("first").alias("start_line"))), "overlay")
+        functions, classes = nodes.where("kind = 'function'"), nodes.where("kind = 'class'")
+        given = [F.lit(schema.INDEX_CONFIDENCE).alias("confidence"), F.lit(schema.INDEX_PROVIDER).alias("provider")]
+        self.graph.write({
+            "Module": nodes.select(F.col("file").alias("id"), F.col("file").alias("path")).distinct(),
+            "Function": functions.select("id", "name", "file", "start_line", *given),
+            "Class": classes.select("id", "name", "file", given[1]),
+            "DEFINES": functions.select(F.col("file").alias("src"), F.col("id").alias("dst")),
+            "CALLS": edges,
+        })
+        told = occurrences.agg(F.count_distinct("file").alias("documents")).first().asDict()
+        return counts.first().asDict() | told | {"files_parsed": files.count(), "files_matched": ranges.overlap(flat.select("file"), occurrences).count(), "calls_emitted": edges.count(), "nodes": nodes.count()}
 
     def feedback(self, events: DataFrame, label: str = "Function") -> DataFrame:
         """Applies ``events(seq, node_id, kind[, weight])``; returns before and after of each event, none for missing nodes."""
         label = schema.confidence_label(label)
         nodes = self.graph.table(label)
-        trace = feedback.feedback_trace(nodes, events).collect()
+        trace = cut(feedback.feedback_trace(nodes, events), "trace")
         self.graph.replace({label: feedback.apply_feedback(nodes, events)})
-        return self.spark.createDataFrame(trace, "node_id string, seq long, before double, after double")
+        return trace
 
     # reading
     def query(self, sql: str, **params) -> DataFrame:
@@ -138,10 +150,19 @@ class Client:
         return manifest.read(self.spark, self.manifest_path)
 
     def index_health(self, files: DataFrame) -> dict | None:
-        """What an answer over ``files(file)`` may lack; None without a manifest or when all is healthy."""
-        known = self._health()
-        row = health.index_health(known, files).first() if known is not None else None
-        return row.asDict() if row else None
+        """What an answer over ``files(file)`` may lack; None without a manifest or when all is healthy, ``unavailable`` with the reason when health can't be told. Never raises, as the answer itself is there."""
+        try:
+            known = self._health()
+            row = health.index_health(known, files).first() if known is not None else None
+            return row.asDict() if row else None
+        except Exception as e:
+            return {"files_indexed": 0, "partial": 0, "failed": 0, "unavailable": str(e)[:200]}
+
+    def call_chain_with_health(self, name: str, direction: str = "both", depth=1) -> tuple[DataFrame, dict | None]:
+        """The call chain, and the index health of its files and of those that define the name."""
+        chain = cut(self.call_chain(name, direction, depth), "chain")
+        files = traverse.definition_files(self.graph.table("Function"), name).unionByName(chain.select("file")).distinct()
+        return chain, self.index_health(files)
 
     def blindspots(self) -> list[dict]:
         known = self._health()

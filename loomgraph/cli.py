@@ -134,7 +134,8 @@ def answer(client: api.Client, method: str, path: str, body: dict) -> tuple[int,
         if (method, path) == ("POST", "/graph/call-chain"):
             if not isinstance(body.get("symbol"), str):
                 return 400, {"error": "symbol is needed"}
-            return 200, {"nodes": plain(client.call_chain(body["symbol"], body.get("direction", "both"), body.get("depth", 1)))}
+            chain, told = client.call_chain_with_health(body["symbol"], body.get("direction", "both"), body.get("depth", 1))
+            return 200, {"nodes": plain(chain)} | ({"indexHealth": told} if told else {})
         if (method, path) == ("POST", "/graph/impact-analysis"):
             if not isinstance(body.get("specId"), str):
                 return 400, {"error": "specId is needed"}

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a temporary folder only where it is unset and the session is local."""
@@ -24,8 +26,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows, read from a table written just now; survives the loss of any executor."""
+    """The same rows, read from a table written just now; survives the loss of any executor. Deleted by :func:`drop` or when the program ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def drop(df: DataFrame | None) -> None:
+    """Deletes a table made by :func:`cut` that no later plan reads."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _written[:] = [x for x in _written if x[1] != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _written:
+        try:
+            _delete(spark, path)
+        except Exception:  # that session may already be gone, another's may not
+            continue

@@ -1,17 +1,51 @@
 """Interval joins within one file: scopes, enclosing functions, index occurrences.
 
-All joins have the file as an equality key, so they are shuffled hash or sort-merge joins with the
-interval test as a further condition, never a nested loop over the whole table.
+All joins are equality joins on file and grid cell with the interval test as a further condition, never a nested loop over a
+table or a file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import INDEX_CONFIDENCE, INDEX_PROVIDER
 
+MOST_LEVELS = 40
+
+
+def _bins(start: Column, end: Column) -> Column:
+    """Cells ``(level, number)`` of twofold wider grids, two neighbours at most of the level on which the interval is shorter than a cell."""
+    level = F.ceil(F.log2(F.greatest(end - start, F.lit(0)).cast("double") + 1)).cast("int")
+    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
+    return F.transform(F.sequence(cell(start), cell(end)), lambda n: F.struct(level.alias("level"), n.alias("cell")))
+
+
+def _bins_above(start: Column) -> Column:
+    """The cells that hold a place, one on each level that an interval of 64 bits may have."""
+    return F.transform(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(start / F.pow(F.lit(2.0), k)).cast("long").alias("cell")))
+
+
+def around(sites: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``sites(file, start, end, ...)`` with every scope ``(f, s, e, ...)`` of their file that contains them, bounds included.
+
+    An interval lies in the one or two cells of a grid as wide as itself, a site asks the cell of its start on each level: an equality join
+    on file, level and cell, so that a file of many scopes is no group of all pairs. A site meets those scopes only that are around its start or in the same cell.
+    """
+    placed = scopes.withColumn("at", F.explode(_bins(F.col("s"), F.col("e")))).select(*scopes.columns, F.col("at.level").alias("on_level"), F.col("at.cell").alias("on_cell"))
+    levels = F.broadcast(placed.select(F.col("on_level").alias("level")).distinct())  # no more than there are powers of two
+    wanted = sites.withColumn("at", F.explode(_bins_above(F.col("start")))).select(*sites.columns, F.col("at.level").alias("level"), F.col("at.cell").alias("cell")).join(levels, "level")
+    inside = F.expr("file = f and level = on_level and cell = on_cell and s <= start and e >= end")
+    return wanted.join(placed, inside).select(*sites.columns, *scopes.columns)
+
+
+def containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """``inner(file, start, end, ...)`` with each wider ``outer(file, start, end, ...)`` around it as ``(f, s, e, ...)``."""
+    names = {"file": "f", "start": "s", "end": "e"}
+    found = around(inner, outer.select(*[F.col(c).alias(names.get(c, f"outer_{c}")) for c in outer.columns]))
+    return found.where((F.col("e") - F.col("s")) > (F.col("end") - F.col("start")))
+
 
 def qualify(definitions: DataFrame) -> DataFrame:
     """``definitions(file, kind, name, start, end, ordinal)`` with ``id``.
@@ -20,13 +54,13 @@ def qualify(definitions: DataFrame) -> DataFrame:
     class is never qualified.
     """
     d = definitions.select("file", "kind", "name", "start", "end", "ordinal")
-    outer = d.select(F.col("file").alias("f"), F.col("name").alias("scope"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("ordinal").alias("o"))
-    inside = (F.col("f") == F.col("file")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")) & ((F.col("e") - F.col("s")) > (F.col("end") - F.col("start")))
-    scopes = d.where("kind = 'function'").join(outer, inside, "left").groupBy("file", "kind", "name", "start", "end", "ordinal").agg(F.array_sort(F.collect_list(F.when(F.col("scope").isNotNull(), F.struct("s", (-F.col("e")).alias("e"), "o", "scope")))).alias("scopes"))
-    path = F.array_join(F.concat(F.transform("scopes", lambda x: x["scope"]), F.array("name")), ".")
-    functions = scopes.select("file", "kind", "name", "start", "end", "ordinal", F.concat("file", F.lit("#"), path).alias("id"))
-    classes = d.where("kind = 'class'").withColumn("id", F.concat("file", F.lit("#class:"), "name"))
-    return functions.unionByName(classes)
+    functions = d.where("kind = 'function'")
+    held = containing(functions, d.select("file", "start", "end", "ordinal", "name")).groupBy(*d.columns).agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), F.col("outer_ordinal").alias("o"), F.col("outer_name").alias("scope")))).alias("scopes"))
+    held = held.select(*[F.col(c).alias(f"its_{c}") for c in d.columns], "scopes")
+    joined = functions.join(held, F.expr(" and ".join(f"{c} <=> its_{c}" for c in d.columns)), "left")
+    path = F.array_join(F.concat(F.coalesce(F.transform("scopes", lambda x: x["scope"]), F.array().cast("array<string>")), F.array("name")), ".")
+    named = joined.select("file", "kind", "name", "start", "end", "ordinal", F.concat("file", F.lit("#"), path).alias("id"))
+    return named.unionByName(d.where("kind = 'class'").withColumn("id", F.concat("file", F.lit("#class:"), "name")))
 
 
 def smallest_containing(sites: DataFrame, scopes: DataFrame, how: str = "inner") -> DataFrame:
@@ -35,9 +69,12 @@ def smallest_containing(sites: DataFrame, scopes: DataFrame, how: str = "inner")
     Bounds are inclusive; of equally narrow scopes the first by ordinal wins.
     """
     s = scopes.select(F.col("file").alias("f"), F.col("id").alias("scope_id"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("ordinal").alias("o"))
-    around = (F.col("f") == F.col("file")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end"))
-    joined = sites.select("site", "file", "start", "end").join(s, around, how)
-    return joined.groupBy("site", "file", "start", "end").agg(F.min_by("scope_id", F.struct((F.col("e") - F.col("s")).alias("span"), "o")).alias("scope_id"))
+    asked = sites.select("site", "file", "start", "end")
+    found = around(asked, s).groupBy("site", "file", "start", "end").agg(F.min_by("scope_id", F.struct((F.col("e") - F.col("s")).alias("span"), "o")).alias("scope_id"))
+    if how == "inner":
+        return found
+    alone = asked.join(found.select("site"), "site", "left_anti").distinct()
+    return found.unionByName(alone.withColumn("scope_id", F.lit(None).cast(dict(found.dtypes)["scope_id"])))
 
 
 def definition_sites(occurrences: DataFrame) -> DataFrame:
@@ -69,6 +106,13 @@ def index_edges(occurrences: DataFrame, scopes: DataFrame) -> tuple[DataFrame, D
     return definitions, edges, counts.crossJoin(used)
 
 
+def index_nodes(definitions: DataFrame, scopes: DataFrame) -> DataFrame:
+    """``(id, kind, name, file, start_line)`` of the scopes that a symbol index defines, once each, however many symbols resolve to one."""
+    found = definitions.where("id is not null").select("id").distinct()
+    first = F.min_by(F.struct("kind", "name", "file", "start_line"), "start_line").alias("s")
+    return scopes.join(found, "id", "left_semi").groupBy("id").agg(first).select("id", "s.kind", "s.name", "s.file", "s.start_line")
+
+
 def overlap(files: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Files of the tree that the index has too; none at all is an error, as the overlay would be void."""
     found = files.select("file").distinct().join(occurrences.select("file").distinct(), "file", "left_semi")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, drop
 from ..schema import clamp
 from .traverse import neighbourhood
 
 DAMPING, ITERATIONS = 0.85, 20
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, cut_every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """``(id, rank)``; ranks sum to 1, what dangling vertices hold is spread evenly. Repeated edges count once."""
     v = vertices.select("id").distinct()
     e = edges.select("src", "dst").where("src is not null and dst is not null").distinct().join(v.toDF("src"), "src", "left_semi").join(v.toDF("dst"), "dst", "left_semi")
@@ -23,11 +23,14 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, it
     e = cut(e.join(out, "src"), "links")
     rank = cut(v.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "rank")
     for k in range(iterations):
+        before = rank
+        lost = F.broadcast(rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # a column, not a literal: every round runs the same compiled code
         sent = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        rank = rank.select("id", "dangling").join(sent, "id", "left").crossJoin(F.broadcast(lost)).select("id", "dangling", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if (k + 1) % cut_every == 0 and k + 1 < iterations:
-            rank = cut(rank, "rank")
+        rank = rank.select("id", "dangling").join(sent, "id", "left").crossJoin(lost).select("id", "dangling", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        # Each round reads the last one twice, so plans left to grow would double with every round.
+        rank = cut(rank, "rank")
+        drop(before)
+    drop(e)
     return rank.select("id", "rank")
 
 
@@ -40,7 +43,7 @@ def god_nodes(nodes: DataFrame, edges: DataFrame, limit=10, damping: float = DAM
     """``(label, id, display, rank)`` of the highest-ranked nodes of the whole graph, isolated ones included."""
     keyed, pairs = _keys(nodes, edges)
     ranks = pagerank(keyed.select(F.col("key").alias("id")), pairs, damping, iterations).withColumnRenamed("id", "key")
-    return keyed.join(ranks, "key").orderBy(F.desc("rank"), "label", "id").limit(clamp(limit, 1, 1000, 10)).select("label", "id", F.coalesce("display", "id").alias("display"), "rank")
+    return keyed.join(ranks, "key").orderBy(F.desc("rank"), "label", "id").limit(clamp(limit, 1, 1000, 10)).select("label", "id", "display", "rank")
 
 
 def related(nodes: DataFrame, edges: DataFrame, seed: str, depth=2, limit=10, iterations: int = ITERATIONS) -> DataFrame:
@@ -51,7 +54,7 @@ def related(nodes: DataFrame, edges: DataFrame, seed: str, depth=2, limit=10, it
     kept = edges.join(ends, ["src_label", "src"], "left_semi").join(ends.toDF("dst_label", "dst"), ["dst_label", "dst"], "left_semi")
     keyed, pairs = _keys(inside, kept)
     ranks = pagerank(keyed.select(F.col("key").alias("id")), pairs, DAMPING, iterations).withColumnRenamed("id", "key")
-    return keyed.join(ranks, "key").where(F.col("id") != F.lit(seed)).orderBy(F.desc("rank"), "label", "id").limit(clamp(limit, 1, 1000, 10)).select("label", "id", F.coalesce("display", "id").alias("display"), "rank")
+    return keyed.join(ranks, "key").where(F.col("id") != F.lit(seed)).orderBy(F.desc("rank"), "label", "id").limit(clamp(limit, 1, 1000, 10)).select("label", "id", "display", "rank")
 
 
 def communities(vertices: DataFrame, edges: DataFrame, max_phases: int = 20, max_iterations: int = 20) -> DataFrame:
@@ -72,6 +75,7 @@ def communities(vertices: DataFrame, edges: DataFrame, max_phases: int = 20, max
     for _ in range(max_phases):
         degree = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
         state = cut(degree.select("id", "k", F.col("id").alias("c")), "louvain")
+        held = state
         any_move = False
         quiet = 0
         for turn in range(max_iterations):
@@ -84,6 +88,8 @@ def communities(vertices: DataFrame, edges: DataFrame, max_phases: int = 20, max
             best = judged.groupBy("id", "k", "c").agg(F.max_by("to", F.struct("gain", (F.col("to") == F.col("c")).alias("stay"), F.xxhash64("to").alias("h"))).alias("to"), F.max(F.when(F.col("to") == F.col("c"), F.col("gain"))).alias("now"), F.max("gain").alias("then"))
             may = (F.col("then") > F.col("now") + 1e-9) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0)
             moved = cut(best.select("id", "k", F.when(may, F.col("to")).otherwise(F.col("c")).alias("c"), may.alias("moved")), "louvain")
+            drop(held)
+            held = moved
             changes = moved.where("moved").count()
             state = moved.drop("moved")
             any_move = any_move or changes > 0
@@ -93,8 +99,11 @@ def communities(vertices: DataFrame, edges: DataFrame, max_phases: int = 20, max
         if not any_move:
             break
         to = state.select("id", "c")
+        before = member, links, held
         member = cut(member.join(to.select(F.col("id").alias("c"), F.col("c").alias("c2")), "c", "left").select("id", F.coalesce("c2", "c").alias("c")), "louvain")
         ends = to.select(F.col("id").alias("a"), F.col("c").alias("ca"))
         links = cut(links.join(ends, "a").join(ends.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain")
+        for table in before:
+            drop(table)
     least = member.groupBy("c").agg(F.min("id").alias("community"))
     return member.join(least, "c").select("id", "community").orderBy("community", "id")

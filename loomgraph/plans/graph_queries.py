@@ -8,7 +8,7 @@ from ..operators import knowledge, rank, ranges, resolve, traverse
 from . import driver as D
 
 DEPTH = 2
-ROUNDS = 8
+ROUNDS = rank.ITERATIONS
 
 
 def join01_resolve_local(spark, sf):
@@ -53,7 +53,7 @@ def join05_callees(spark, sf):
 
 
 def join06_call_chain(spark, sf):
-    return traverse.call_chain(D.functions(spark, sf), D.calls(spark, sf), D.seed_name(spark, sf), "both", 1)
+    return traverse.call_chain(D.functions(spark, sf), D.calls(spark, sf), D.seed_name(spark, sf), "both", DEPTH)
 
 
 def join07_definition_files(spark, sf):
@@ -79,11 +79,11 @@ def join09_implemented_specs(spark, sf):
 
 
 def join10_impact_direct(spark, sf):
-    return D.impacts(spark, sf).where(F.col("dst") == D.SPEC).select(F.col("src").alias("id")).distinct()
+    return knowledge.impact(D.decisions(spark, sf), D.impacts(spark, sf), D.supersedes(spark, sf), D.SPEC, 3).where("via = 'direct'").select("id")
 
 
 def join11_impact_chained(spark, sf):
-    direct = join10_impact_direct(spark, sf)
+    direct = D.impacts(spark, sf).where(F.col("dst") == D.SPEC).select(F.col("src").alias("id")).distinct()
     return traverse.reach(D.supersedes(spark, sf), direct, 3, "in").select("id").distinct()
 
 
@@ -96,13 +96,15 @@ def join13_ranked_impact(spark, sf):
 
 
 def _heterogeneous(spark, sf):
-    """Regions, nations and suppliers with their relations, for the algorithms on mixed graphs."""
+    """Regions, nations, suppliers and parts with their relations, the calls of parts among them: the whole mixed graph."""
     region = D.table(spark, sf, "region").select(F.lit("Spec").alias("label"), D.text("r_regionkey").alias("id"), F.col("r_name").alias("display"))
     nation = D.table(spark, sf, "nation").select(F.lit("Module").alias("label"), D.text("n_nationkey").alias("id"), F.col("n_name").alias("display"))
     supplier = D.table(spark, sf, "supplier").select(F.lit("Function").alias("label"), F.concat(F.lit("s"), D.text("s_suppkey")).alias("id"), F.col("s_name").alias("display"))
     a = D.table(spark, sf, "nation").select(F.lit("IMPLEMENTS").alias("rel"), F.lit("Module").alias("src_label"), D.text("n_nationkey").alias("src"), F.lit("Spec").alias("dst_label"), D.text("n_regionkey").alias("dst"))
     b = D.table(spark, sf, "supplier").select(F.lit("DEFINES").alias("rel"), F.lit("Module").alias("src_label"), D.text("s_nationkey").alias("src"), F.lit("Function").alias("dst_label"), F.concat(F.lit("s"), D.text("s_suppkey")).alias("dst"))
-    return region.unionByName(nation).unionByName(supplier), a.unionByName(b)
+    part = D.functions(spark, sf).select(F.lit("Function").alias("label"), F.concat(F.lit("p"), "id").alias("id"), F.col("name").alias("display"))
+    c = D.calls(spark, sf).select(F.lit("CALLS").alias("rel"), F.lit("Function").alias("src_label"), F.concat(F.lit("p"), "src").alias("src"), F.lit("Function").alias("dst_label"), F.concat(F.lit("p"), "dst").alias("dst"))
+    return region.unionByName(nation).unionByName(supplier).unionByName(part), a.unionByName(b).unionByName(c)
 
 
 def join14_neighbourhood(spark, sf):
@@ -120,7 +122,7 @@ def ga01_pagerank(spark, sf):
 
 
 def ga02_communities(spark, sf):
-    return rank.communities(D.functions(spark, sf), D.calls(spark, sf), max_phases=2, max_iterations=4)
+    return rank.communities(D.functions(spark, sf), D.calls(spark, sf))
 
 
 def ga03_related(spark, sf):
@@ -143,9 +145,7 @@ _SCOPES = """scopes AS (SELECT CAST(l_partkey AS VARCHAR) AS file, concat(l_orde
 def join15_containment(spark, sf):
     """How many scopes of the same file strictly contain each."""
     s = _scopes(spark, sf)
-    o = s.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = (F.col("f") == F.col("file")) & (F.col("s") <= F.col("start")) & (F.col("e") >= F.col("end")) & ((F.col("e") - F.col("s")) > (F.col("end") - F.col("start")))
-    return s.join(o, inside).groupBy("file").agg(F.count("*").alias("pairs"), F.sum((F.col("e") - F.col("s")).cast("long")).alias("extent"))
+    return ranges.containing(s, s.select("file", "start", "end")).groupBy("file").agg(F.count("*").alias("pairs"), F.sum((F.col("e") - F.col("s")).cast("long")).alias("extent"))
 
 
 def join16_smallest_containing(spark, sf):
@@ -157,7 +157,7 @@ def join16_smallest_containing(spark, sf):
 
 def join20_overlap(spark, sf):
     a = D.functions(spark, sf).select("file")
-    b = D.functions(spark, sf).where("id <= '5'").select("file")
+    b = D.table(spark, sf, "supplier").select(F.concat(F.lit("Brand#"), (F.col("s_nationkey") + 11).cast("string")).alias("file"))
     return ranges.overlap(a, b)
 
 
@@ -170,8 +170,9 @@ def _walk(direction: str, depth: int) -> str:
 
 
 def _chain_sql() -> str:
-    part = lambda a, b, d: f"SELECT DISTINCT f.id, f.name, f.file, '{d}' AS direction FROM functions s JOIN calls c ON c.{b} = s.id JOIN functions f ON f.id = c.{a} WHERE s.name = {D.SEED}"
-    return f"WITH {D.FUNCTIONS}, {D.CALLS} {part('src', 'dst', 'callers')} UNION ALL {part('dst', 'src', 'callees')}"
+    part = lambda d, how: f"SELECT id, name, file, '{how}' AS direction FROM functions WHERE id IN (SELECT id FROM {d} WHERE d > 0)"
+    walks = f"{_walk('in', DEPTH).replace('walk', 'up')}, {_walk('out', DEPTH).replace('walk', 'down')}"
+    return f"WITH RECURSIVE {D.FUNCTIONS}, {D.CALLS}, {walks} {part('up', 'callers')} UNION ALL {part('down', 'callees')}"
 
 
 def _pagerank_sql(vertices: str, edges: str, rounds: int, select: str) -> str:
@@ -180,13 +181,14 @@ def _pagerank_sql(vertices: str, edges: str, rounds: int, select: str) -> str:
     for k in range(rounds):
         parts.append(f"l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM deg))")
         parts.append(f"g{k} AS (SELECT e.dst AS id, sum(r.rank / degree) AS got FROM e JOIN r{k} r ON r.id = e.src JOIN deg d ON d.src = e.src GROUP BY e.dst)")
-        parts.append(f"r{k + 1} AS (SELECT v.id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v LEFT JOIN g{k} USING (id), l{k}, n)")
+        parts.append(f"r{k + 1} AS MATERIALIZED (SELECT v.id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) AS rank FROM v LEFT JOIN g{k} USING (id), l{k}, n)")
     return f"WITH {', '.join(parts)} {select}"
 
 
-_NODES = """nodes AS (SELECT 'Spec' AS label, CAST(r_regionkey AS VARCHAR) AS id, r_name AS display FROM region UNION ALL SELECT 'Module', CAST(n_nationkey AS VARCHAR), n_name FROM nation
-  UNION ALL SELECT 'Function', concat('s', s_suppkey), s_name FROM supplier),
-edges AS (SELECT concat('Module', n_nationkey) AS src, concat('Spec', n_regionkey) AS dst FROM nation UNION ALL SELECT concat('Module', s_nationkey), concat('Functions', s_suppkey) FROM supplier),
+_NODES = f"""{D.FUNCTIONS}, {D.CALLS}, nodes AS (SELECT 'Spec' AS label, CAST(r_regionkey AS VARCHAR) AS id, r_name AS display FROM region UNION ALL SELECT 'Module', CAST(n_nationkey AS VARCHAR), n_name FROM nation
+  UNION ALL SELECT 'Function', concat('s', s_suppkey), s_name FROM supplier UNION ALL SELECT 'Function', concat('p', id), name FROM functions),
+edges AS (SELECT concat('Module', n_nationkey) AS src, concat('Spec', n_regionkey) AS dst FROM nation UNION ALL SELECT concat('Module', s_nationkey), concat('Functions', s_suppkey) FROM supplier
+  UNION ALL SELECT concat('Functionp', src), concat('Functionp', dst) FROM calls),
 both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
 _NEAR = "near(k, d) AS (SELECT concat(label, id), 0 FROM nodes WHERE id = 's1' UNION SELECT b.dst, near.d + 1 FROM near JOIN both_ways b ON b.src = near.k WHERE near.d < {})"
 _IMPLEMENTS = "implements AS (SELECT DISTINCT f.file AS src, CAST(l_suppkey AS VARCHAR) AS dst FROM lineitem JOIN functions f ON f.id = CAST(l_partkey AS VARCHAR))"
@@ -220,7 +222,7 @@ SQL = {
     "join15_containment": f"WITH {_SCOPES} SELECT s.file, count(*) AS pairs, CAST(sum(o.\"end\" - o.\"start\") AS BIGINT) AS extent FROM scopes s JOIN scopes o ON o.file = s.file AND o.\"start\" <= s.\"start\" AND o.\"end\" >= s.\"end\" AND o.\"end\" - o.\"start\" > s.\"end\" - s.\"start\" GROUP BY s.file",
     "join16_smallest_containing": f"""WITH {_SCOPES}, sites AS (SELECT DISTINCT concat(id, '?') AS site, file, "start" FROM scopes), one AS (SELECT file, "start", "end", min(ordinal) AS ordinal, min(id) AS id FROM scopes GROUP BY 1, 2, 3)
   SELECT site, file, scope_id FROM (SELECT i.site, i.file, s.id AS scope_id, row_number() OVER (PARTITION BY i.site, i.file, i."start" ORDER BY s."end" - s."start", s.ordinal) AS n FROM sites i JOIN one s ON s.file = i.file AND s."start" <= i."start" AND s."end" >= i."start") WHERE n = 1""",
-    "join20_overlap": f"WITH {D.FUNCTIONS} SELECT DISTINCT file FROM functions WHERE file IN (SELECT file FROM functions WHERE id <= '5')",
+    "join20_overlap": f"WITH {D.FUNCTIONS} SELECT DISTINCT file FROM functions WHERE file IN (SELECT concat('Brand#', s_nationkey + 11) FROM supplier)",
 }
 
 QUERIES = {f.__name__: f for f in (

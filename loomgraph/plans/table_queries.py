@@ -6,25 +6,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..lineage import cut
-from ..operators import feedback, health, knowledge, merge, resolve
+from ..operators import feedback, health, knowledge, merge, ranges, resolve
 from . import driver as D
 from .driver import table
 
 
 def _docs(spark, sf):
-    """A markdown document per row: specs, every third one a decision, every seventh without front matter, every eleventh nameless."""
+    """A markdown document per row, its text behind a heading and references: specs, every third one a decision, every seventh without front matter, every eleventh nameless."""
     d = table(spark, sf, "documents")
     n = D.text("doc_id")
     kind = F.when(F.col("doc_id") % 3 == 0, "DEC-").otherwise("SPEC-")
     refs = F.concat(F.lit("[["), F.lit("DEC-"), (F.col("doc_id") % 20).cast("string"), F.lit("]] and [[ SPEC-"), (F.col("doc_id") % 30).cast("string"), F.lit(" ]]\n"))
     front = F.concat(F.lit("---\nid: "), kind, n, F.lit('\ntitle: "About '), n, F.lit('"\nstatus: '), F.col("lang"), F.lit("\ndate: '2024-01-0"), (F.col("n_chars") % 9 + 1).cast("string"), F.lit("'\nrelated: [dec-"), (F.col("n_chars") % 50).cast("string"), F.lit(", SPEC-"), (F.col("doc_id") + 1).cast("string"), F.lit("]\n---\n"))
-    content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# Heading "), n, F.lit("\n"), refs)).otherwise(F.concat(front, F.lit("text\n"), refs))
+    whole = F.concat(refs, F.coalesce("text", F.lit("")))
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("# Heading "), n, F.lit("\n"), whole)).otherwise(F.concat(front, F.lit("text\n"), whole))
     fallback = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("docs/REQ-"), n, F.lit(".md"))).otherwise(F.concat(F.lit("docs/"), kind, n, F.lit("-x.md")))
     return d.select(content.alias("content"), fallback.alias("fallback_id"), F.col("doc_id").alias("ordinal"))
 
 
 _DOCS = """docs AS (SELECT doc_id AS ordinal, CASE WHEN doc_id % 3 = 0 THEN 'DEC-' ELSE 'SPEC-' END AS p, doc_id % 7 = 0 AS bare,
-  concat('[[DEC-', doc_id % 20, ']] and [[ SPEC-', doc_id % 30, ' ]]', chr(10)) AS refs, lang, n_chars, doc_id FROM documents),
+  concat('[[DEC-', doc_id % 20, ']] and [[ SPEC-', doc_id % 30, ' ]]', chr(10), coalesce(text, '')) AS refs, lang, n_chars, doc_id FROM documents),
 content AS (SELECT ordinal, CASE WHEN bare THEN concat('# Heading ', doc_id, chr(10), refs) ELSE concat('---', chr(10), 'id: ', p, doc_id, chr(10), 'title: "About ', doc_id, '"', chr(10), 'status: ', lang, chr(10),
   'date: ''2024-01-0', n_chars % 9 + 1, '''', chr(10), 'related: [dec-', n_chars % 50, ', SPEC-', doc_id + 1, ']', chr(10), '---', chr(10), 'text', chr(10), refs) END AS content,
   CASE WHEN doc_id % 11 = 0 THEN concat('docs/REQ-', doc_id, '.md') ELSE concat('docs/', p, doc_id, '-x.md') END AS fallback_id FROM docs),
@@ -150,13 +151,13 @@ def hard05_utf16_length(spark, sf):
 
 
 def _stored(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 2 = 0")
+    p = table(spark, sf, "part")
     provider = F.when(F.col("p_partkey") % 6 == 0, "scip").when(F.col("p_partkey") % 10 == 0, F.lit(None).cast("string")).otherwise("tree-sitter")
     return p.select(D.text("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_size").cast("long").alias("start_line"), F.when(F.col("p_partkey") % 14 > 0, (F.col("p_partkey") % 10) / 10).alias("confidence"), provider.alias("provider"))
 
 
 def _batch(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey % 3 = 0")
+    p = table(spark, sf, "part")
     return p.select(
         D.text("p_partkey").alias("id"), F.concat("p_name", F.lit("!")).alias("name"), F.col("p_brand").alias("file"), F.lit(1).cast("long").alias("start_line"), F.lit(0.5).alias("confidence"),
         F.when(F.col("p_partkey") % 4 == 0, "scip").otherwise("tree-sitter").alias("provider"), F.lit(0).alias("ordinal"),
@@ -169,18 +170,42 @@ def w02_merge_nodes(spark, sf):
 
 
 _STORED = """stored AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_brand AS file, CAST(p_size AS BIGINT) AS start_line, CASE WHEN p_partkey % 14 > 0 THEN (p_partkey % 10) / 10.0::DOUBLE END AS confidence,
-  CASE WHEN p_partkey % 6 = 0 THEN 'scip' WHEN p_partkey % 10 = 0 THEN NULL ELSE 'tree-sitter' END AS provider FROM part WHERE p_partkey % 2 = 0),
-batch AS (SELECT CAST(p_partkey AS VARCHAR) AS id, concat(p_name, '!') AS name, p_brand AS file, 0.5::DOUBLE AS confidence, CASE WHEN p_partkey % 4 = 0 THEN 'scip' ELSE 'tree-sitter' END AS provider FROM part WHERE p_partkey % 3 = 0),
+  CASE WHEN p_partkey % 6 = 0 THEN 'scip' WHEN p_partkey % 10 = 0 THEN NULL ELSE 'tree-sitter' END AS provider FROM part),
+batch AS (SELECT CAST(p_partkey AS VARCHAR) AS id, concat(p_name, '!') AS name, p_brand AS file, 0.5::DOUBLE AS confidence, CASE WHEN p_partkey % 4 = 0 THEN 'scip' ELSE 'tree-sitter' END AS provider FROM part),
 judged AS (SELECT coalesce(s.id, b.id) AS id, s.name AS n0, s.file AS f0, s.start_line, s.confidence AS c0, s.provider AS p0, b.name AS n1, b.file AS f1, b.confidence AS c1, b.provider AS p1, s.id IS NULL AS fresh,
   b.id IS NOT NULL AND (s.id IS NULL OR coalesce(s.provider = b.provider, false) OR coalesce(b.confidence > s.confidence, false)) AS w FROM stored s FULL JOIN batch b ON s.id = b.id)"""
 
 
 def w03_merge_edges(spark, sf):
-    """Edges whose target is no stored part vanish."""
-    stored = D.calls(spark, sf).where("cast(src as long) % 2 = 0").select("src", "dst", "call_count", F.lit(0.8).alias("confidence"), F.lit("tree-sitter").alias("provider"))
-    batch = D.calls(spark, sf).where("cast(src as long) % 3 = 0").select("src", "dst", (F.col("call_count") + 100).alias("call_count"), F.when(F.col("call_count") > 1, 0.9).otherwise(0.5).alias("confidence"), F.lit("scip").alias("provider"), F.lit(0).alias("ordinal"), F.array(*[F.lit(c) for c in ("call_count", "confidence", "provider")]).alias("present"))
+    """All calls, stored by the extractor and written again by the index with another count; edges without both ends are told by a test."""
+    stored = D.calls(spark, sf).select("src", "dst", "call_count", F.lit(0.8).alias("confidence"), F.when(F.col("call_count") % 2 == 0, "scip").otherwise("tree-sitter").alias("provider"))
+    batch = D.calls(spark, sf).select("src", "dst", (F.col("call_count") + 100).alias("call_count"), F.when(F.col("dst") > F.col("src"), 0.9).otherwise(0.5).alias("confidence"), F.lit("scip").alias("provider"), F.lit(0).alias("ordinal"), F.array(*[F.lit(c) for c in ("call_count", "confidence", "provider")]).alias("present"))
     parts = D.functions(spark, sf)
-    return merge.upsert_edges(stored, batch, parts, parts.where("ordinal % 5 > 0"))
+    return merge.upsert_edges(stored, batch, parts, parts)
+
+
+def w05_origin(spark, sf):
+    """All suppliers as stored specs, written again by every order line that names them, as declared, annotated or referenced."""
+    ranked = lambda c: F.element_at(F.array(F.lit("referenced"), F.lit("annotated"), F.lit("declared")), (c % 3 + 1).cast("int"))
+    stored = table(spark, sf, "supplier").select(D.text("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("open").alias("status"), F.lit(0.5).alias("confidence"), F.when(F.col("s_suppkey") % 4 > 0, ranked(F.col("s_suppkey"))).alias("origin"))
+    lines = table(spark, sf, "lineitem")
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    present = F.array(*[F.lit(c) for c in ("title", "origin")])
+    batch = lines.select(D.text("l_suppkey").alias("id"), F.concat(F.lit("t"), seq.cast("string")).alias("title"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("double").alias("confidence"), ranked(F.col("l_orderkey") % 7 % 3).alias("origin"), seq.alias("ordinal"), present.alias("present"))
+    return merge.upsert_nodes(stored, batch)
+
+
+def sf26_graph_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.graph_name(F.col("url")).alias("name"))
+
+
+def ext04_qualify(spark, sf):
+    """Functions of a part's file: an order line spans the days from its ship date on; ids name the scopes around."""
+    start = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    seq = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal")
+    kind = F.when(F.col("l_linenumber") == 1, "class").otherwise("function").alias("kind")
+    lines = table(spark, sf, "lineitem").select(D.text("l_partkey").alias("file"), kind, F.concat(F.lit("f"), seq.cast("string")).alias("name"), start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"), seq)
+    return ranges.qualify(lines).select("ordinal", "id")
 
 
 def w06_migration(spark, sf):
@@ -194,9 +219,9 @@ def agg10_pending(spark, sf):
 
 
 def w14_orphans(spark, sf):
-    """Stored customers' nations without a supplier: the set difference that garbage collection uses."""
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    b = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    """Documents that no label mentions: the set difference that garbage collection uses."""
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("key"))
+    b = table(spark, sf, "labels").select(F.col("doc_id").alias("key"))
     return a.join(b, "key", "left_anti")
 
 
@@ -222,7 +247,8 @@ def h03_blindspots(spark, sf):
 
 
 def _result_files(spark, sf):
-    return D.health(spark, sf).where("language = 'de' and ordinal % 2 = 0").select(F.col("path").alias("file"))
+    """The files of an answer: those of all labelled documents."""
+    return D.health(spark, sf).join(table(spark, sf, "labels").select(F.col("doc_id").alias("ordinal")), "ordinal", "left_semi").select(F.col("path").alias("file"))
 
 
 def join22_touched(spark, sf):
@@ -258,7 +284,7 @@ def set02_relation_union(spark, sf):
     return a.unionByName(b).unionByName(c).groupBy("rel").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
 
 
-_T = f"{D.HEALTH}, dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE language = 'de' AND ordinal % 2 = 0), bad AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE failed IS NOT NULL OR error_nodes > 0), touched AS (SELECT DISTINCT path FROM bad b WHERE EXISTS (SELECT 1 FROM dirs d WHERE d.dir = b.dir OR (d.dir <> '' AND b.dir <> '' AND (starts_with(b.dir, d.dir || '/') OR starts_with(d.dir, b.dir || '/')))))"
+_T = f"{D.HEALTH}, dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE ordinal IN (SELECT doc_id FROM labels)), bad AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE failed IS NOT NULL OR error_nodes > 0), touched AS (SELECT DISTINCT path FROM bad b WHERE EXISTS (SELECT 1 FROM dirs d WHERE d.dir = b.dir OR (d.dir <> '' AND b.dir <> '' AND (starts_with(b.dir, d.dir || '/') OR starts_with(d.dir, b.dir || '/')))))"
 
 SQL = {
     "src07_knowledge_nodes": f'WITH {_DOCS} SELECT id, label, title, status, "date", confidence, origin FROM nodes',
@@ -285,14 +311,22 @@ SQL = {
     "w13_branch_names": "SELECT page_id, concat(left(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), 60), '-', left(sha1(url), 8)) AS name FROM pages",
     "hard05_utf16_length": "SELECT doc_id, CAST(length(text) + 2 + (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))) AS BIGINT) AS units FROM documents",
     "w02_merge_nodes": f"WITH {_STORED} SELECT id, CASE WHEN w THEN n1 ELSE n0 END AS name, CASE WHEN w THEN f1 ELSE f0 END AS file, start_line, CASE WHEN w AND NOT (NOT fresh AND coalesce(p0 = p1, false) AND c0 IS NOT NULL) THEN c1 ELSE c0 END AS confidence, CASE WHEN w THEN p1 ELSE p0 END AS provider FROM judged",
-    "w03_merge_edges": f"""WITH {D.CALLS}, stored AS (SELECT src, dst, call_count FROM calls WHERE CAST(src AS BIGINT) % 2 = 0),
-  batch AS (SELECT src, dst, call_count + 100 AS call_count, CASE WHEN call_count > 1 THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM calls WHERE CAST(src AS BIGINT) % 3 = 0 AND CAST(dst AS BIGINT) % 5 > 0)
-  SELECT coalesce(s.src, b.src) AS src, coalesce(s.dst, b.dst) AS dst, CASE WHEN s.src IS NULL OR b.confidence > 0.8 THEN b.call_count ELSE s.call_count END AS call_count,
-  CASE WHEN s.src IS NULL OR b.confidence > 0.8 THEN b.confidence ELSE 0.8::DOUBLE END AS confidence, CASE WHEN s.src IS NULL OR b.confidence > 0.8 THEN 'scip' ELSE 'tree-sitter' END AS provider
-  FROM stored s FULL JOIN batch b ON s.src = b.src AND s.dst = b.dst""",
+    "w03_merge_edges": f"""WITH {D.CALLS}, judged AS (SELECT *, call_count % 2 = 0 OR dst > src AS w FROM calls)
+  SELECT src, dst, CASE WHEN w THEN call_count + 100 ELSE call_count END AS call_count, CASE WHEN NOT w THEN 0.8::DOUBLE WHEN dst > src THEN 0.9::DOUBLE ELSE 0.5::DOUBLE END AS confidence, CASE WHEN w THEN 'scip' ELSE 'tree-sitter' END AS provider FROM judged""",
+    "w05_origin": """WITH ranked AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, l_orderkey * 10 + l_linenumber AS seq, l_orderkey % 7 % 3 AS r FROM lineitem),
+  stored AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 3 ELSE -1 END AS r FROM supplier),
+  best AS (SELECT id, max(r) AS r FROM ranked GROUP BY id), last AS (SELECT ranked.id, max(seq) AS seq FROM ranked JOIN best ON best.id = ranked.id AND best.r = ranked.r GROUP BY ranked.id)
+  SELECT coalesce(s.id, b.id) AS id, CASE WHEN b.r >= coalesce(s.r, -1) THEN concat('t', seq) ELSE s_name END AS title, CASE WHEN s.id IS NOT NULL THEN 'open' END AS status, CASE WHEN s.id IS NOT NULL THEN 0.5::DOUBLE END AS confidence,
+  CASE greatest(coalesce(b.r, -1), coalesce(s.r, -1)) WHEN 0 THEN 'referenced' WHEN 1 THEN 'annotated' WHEN 2 THEN 'declared' END AS origin
+  FROM stored s FULL JOIN best b ON s.id = b.id LEFT JOIN last ON last.id = b.id""",
+    "sf26_graph_names": "SELECT page_id, coalesce(nullif(left(regexp_replace(url, '[^A-Za-z0-9._-]', '-', 'g'), 80), ''), 'graph') AS name FROM pages",
+    "ext04_qualify": """WITH d AS (SELECT CAST(l_partkey AS VARCHAR) AS file, CASE WHEN l_linenumber = 1 THEN 'class' ELSE 'function' END AS kind, l_orderkey * 10 + l_linenumber AS ordinal, concat('f', l_orderkey * 10 + l_linenumber) AS name,
+  date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INTEGER) AS e FROM lineitem),
+  around AS (SELECT d.file, d.ordinal, d.s, d.e, string_agg(o.name, '.' ORDER BY o.s, -o.e, o.ordinal) AS scopes FROM (SELECT DISTINCT * FROM d) d JOIN d o ON o.file = d.file AND o.s <= d.s AND o.e >= d.e AND o.e - o.s > d.e - d.s GROUP BY d.file, d.ordinal, d.s, d.e)
+  SELECT d.ordinal, CASE WHEN kind = 'class' THEN concat(d.file, '#class:', name) ELSE concat(d.file, '#', coalesce(scopes || '.', ''), name) END AS id FROM d LEFT JOIN around a ON a.file = d.file AND a.ordinal = d.ordinal AND a.s = d.s AND a.e = d.e""",
     "w06_migration": f"WITH {_STORED} SELECT id, name, file, start_line, CAST(NULL AS DOUBLE) AS confidence, coalesce(provider, 'tree-sitter') AS provider FROM stored",
     "agg10_pending": f"WITH {_STORED} SELECT 'Function' AS \"table\", count(*) FILTER (provider IS NULL) AS pending FROM stored UNION ALL SELECT 'Other', 0",
-    "w14_orphans": "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "w14_orphans": "SELECT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "sage01_apply_feedback": f"""WITH {D.FEEDBACK}, lists AS (SELECT node_id, list(delta ORDER BY ts, event_id) AS d FROM deltas GROUP BY node_id)
   SELECT id, round(CASE WHEN d IS NULL THEN confidence ELSE list_reduce(d, lambda a, x: greatest(0.1::DOUBLE, least(1.0::DOUBLE, a + x)), coalesce(confidence, 0.5::DOUBLE)) END, 9) AS confidence FROM judged LEFT JOIN lists ON node_id = id""",
     "sage02_feedback_trace": f"""WITH {D.FEEDBACK}, prefixes AS (SELECT node_id, event_id, list(delta) OVER (PARTITION BY node_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS d FROM deltas),

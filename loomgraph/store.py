@@ -1,8 +1,9 @@
-"""The graph store: immutable Parquet snapshots behind one pointer file.
+"""The graph store: immutable Parquet tables behind one pointer file.
 
-A writer writes a new version beside the old ones and then replaces the pointer in one rename, so
-readers keep the version that they opened, and a writer that fails leaves nothing behind but files no
-one points to. The last version stays as the backup.
+The pointer names each table's folder. A writer writes the tables that change, and only those, beside the old ones and then
+replaces the pointer in one rename, so readers keep the tables that they opened, and a writer that fails leaves nothing
+behind but files no one points to. A commit deletes nothing; :meth:`GraphStore.clean_up` removes, after a time of grace, what neither the pointer
+nor a backup names. Backups are copies of the pointer, made before each migration and never overwritten.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import json
 import os
 import re
 import shutil
+import time
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +25,8 @@ from .sources import branches
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, path: str, read_only: bool, version: int):
-        self.spark, self.path, self.read_only, self.version = spark, path, read_only, version
+    def __init__(self, spark: SparkSession, path: str, read_only: bool, version: int, tables: dict[str, str]):
+        self.spark, self.path, self.read_only, self.version, self.tables = spark, path, read_only, version, tables
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, read_only: bool = False) -> GraphStore:
@@ -33,10 +36,10 @@ class GraphStore:
             if read_only:
                 raise FileNotFoundError(f"no graph at {path}; index a folder first")
             os.makedirs(path, exist_ok=True)
-            store = cls(spark, path, False, 0)
-            store._commit({t: schema.empty(spark, t) for t in (*schema.NODES, *schema.RELATIONS)})
+            store = cls(spark, path, False, 0, {})
+            store.clear()
             return store
-        store = cls(spark, path, read_only, at)
+        store = cls(spark, path, read_only, at["version"], at["tables"])
         if not read_only:
             store.migrate()
         return store
@@ -44,7 +47,7 @@ class GraphStore:
     def table(self, name: str) -> DataFrame:
         if name not in schema.NODES and name not in schema.RELATIONS:
             raise ValueError(f"no table {name}")
-        return self.spark.read.parquet(f"{self.path}/v{self.version}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{self.tables[name]}")
 
     def nodes(self) -> DataFrame:
         """``(label, id, display)`` over all labels."""
@@ -66,12 +69,48 @@ class GraphStore:
         return self.spark.sql(sql, args=params or None)
 
     def migrate(self) -> bool:
-        """Adds declared columns that a stored table lacks; the version before stays as the backup."""
+        """Adds declared columns that a stored table lacks, after a backup."""
         changed = {t: merge.with_declared_columns(self.table(t), schema.struct(t)) for t in (*schema.NODES, *schema.RELATIONS) if set(schema.struct(t).names) - set(self.table(t).columns)}
         if changed:
+            self.backup()
             self._commit(changed)
         return bool(changed)
 
+    def backup(self) -> str:
+        """Keeps the present version under a name of its own."""
+        name = f"BACKUP-{self.version}-{time.strftime('%Y%m%dT%H%M%S')}-{uuid.uuid4().hex[:6]}"
+        with open(f"{self.path}/{name}", "x") as f:
+            json.dump({"version": self.version, "tables": self.tables}, f)
+        return name
+
+    def restore(self, name: str) -> None:
+        """Makes a backup's tables the present ones, as a new version."""
+        if not re.fullmatch(r"BACKUP-[\w-]+", name):
+            raise ValueError(f"no backup {name}")
+        with open(f"{self.path}/{name}") as f:
+            tables = json.load(f)["tables"]
+        self._point({**tables})
+
+    def clean_up(self, grace_seconds: float = 7 * 24 * 3600) -> list[str]:
+        """Deletes tables that neither the pointer nor a backup names and that are older than the grace, as a reader may still hold younger ones."""
+        if self.read_only:
+            raise PermissionError("the graph is open for reading only")
+        named = set(_pointer(self.path)["tables"].values())
+        for x in os.listdir(self.path):
+            if x.startswith("BACKUP-"):
+                with open(f"{self.path}/{x}") as f:
+                    named |= set(json.load(f)["tables"].values())
+        gone = []
+        for folder in (d for d in os.listdir(self.path) if re.fullmatch(r"v\d+-\w+", d)):
+            for t in os.listdir(f"{self.path}/{folder}"):
+                at = f"{self.path}/{folder}/{t}"
+                if f"{folder}/{t}" not in named and time.time() - os.stat(at).st_mtime >= grace_seconds:
+                    shutil.rmtree(at, ignore_errors=True)
+                    gone.append(f"{folder}/{t}")
+            if not os.listdir(f"{self.path}/{folder}"):
+                os.rmdir(f"{self.path}/{folder}")
+        return sorted(gone)
+
     def write(self, batches: dict[str, DataFrame]) -> None:
         """Upserts nodes first, then edges; batches without ``ordinal`` or ``present`` set all their columns."""
         done: dict[str, DataFrame] = {}
@@ -98,23 +137,27 @@ class GraphStore:
     def _commit(self, changed: dict[str, DataFrame]) -> None:
         if self.read_only:
             raise PermissionError("the graph is open for reading only")
-        new = (_pointer(self.path) or 0) + 1
-        for t in (*schema.NODES, *schema.RELATIONS):
-            df = changed[t] if t in changed else self.table(t)
-            df.write.mode("overwrite").parquet(f"{self.path}/v{new}/{t}")
-        part = f"{self.path}/CURRENT.part"
+        now = _pointer(self.path) or {"version": 0, "tables": {}}
+        folder = f"v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        for t, df in changed.items():
+            df.write.parquet(f"{self.path}/{folder}/{t}")
+        self._point({**now["tables"], **{t: f"{folder}/{t}" for t in changed}})
+
+    def _point(self, tables: dict[str, str]) -> None:
+        if self.read_only:
+            raise PermissionError("the graph is open for reading only")
+        new = ((_pointer(self.path) or {}).get("version") or 0) + 1
+        part = f"{self.path}/CURRENT.{uuid.uuid4().hex[:8]}.part"
         with open(part, "w") as f:
-            json.dump({"version": new}, f)
+            json.dump({"version": new, "tables": tables}, f)
         os.replace(part, f"{self.path}/CURRENT")
-        self.version = new
-        for old in (d for d in os.listdir(self.path) if re.fullmatch(r"v\d+", d) and int(d[1:]) < new - 1):
-            shutil.rmtree(f"{self.path}/{old}", ignore_errors=True)
+        self.version, self.tables = new, tables
 
 
-def _pointer(path: str) -> int | None:
+def _pointer(path: str) -> dict | None:
     try:
         with open(f"{path}/CURRENT") as f:
-            return int(json.load(f)["version"])
+            return json.load(f)
     except FileNotFoundError:
         return None
 
@@ -127,6 +170,10 @@ def graph_path(root: str, explicit: str | None = None, graph: str | None = None,
         return explicit
     if env.get("LOOMGRAPH_DB"):
         return env["LOOMGRAPH_DB"]
+    if isolation == "shared":
+        if not ids.get("shared"):
+            raise ValueError("this isolation needs the path of the shared graph")
+        return ids["shared"]
     if graph is not None:
         return f"{base}/{re.sub(r'[^A-Za-z0-9._-]', '-', graph)[:80] or 'graph'}.graph"
     if isolation == "single":
@@ -138,7 +185,7 @@ def graph_path(root: str, explicit: str | None = None, graph: str | None = None,
     if isolation == "branch":
         branch = branches.current_branch(root)
         return f"{base}/branch-{branches.sanitize(branch)}.graph" if branch else f"{base}/default.graph"
-    raise ValueError(f"unknown isolation {isolation!r}; one of single, project, branch")
+    raise ValueError(f"unknown isolation {isolation!r}; one of single, project, branch, shared")
 
 
 def collect_garbage(root: str, dry_run: bool = False) -> list[str]:
