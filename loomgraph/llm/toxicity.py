@@ -11,6 +11,7 @@ The lexicon is a start in five languages; where labelled documents are given, mi
 learnt from them: words whose log ratio of toxic to clean documents is ``RATIO`` or more in one
 language, and over all labels too, and that stand in toxic documents of that language between ``SUPPORT``
 different pairs of neighbours (copies of a document are no evidence). A learnt word is as strong as a mild insult, so that one by itself, without a target, makes no document toxic.
+However many words are learnt, all count; they are a lexicon, whose size is that of the labels' toxic vocabulary.
 
 Defined results: a null or empty text scores 0; without labels of both kinds nothing is learnt; every matched clause of a text counts, however
 long the text; a repeated row is scored like the first; an empty table gives an empty result;
@@ -20,7 +21,6 @@ least ``threshold``; a score equal to it is toxic.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,12 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import batches_of
+from .common import batches_of, discard, materialize
 
 THRESHOLD = 1.0
 RATIO = 3.0
 SUPPORT = 4
-LEARNT_AT_MOST = 100_000
+WORDS_AT_ONCE = 100_000
 BROADCAST_LABELS = 500_000
 OTHER, STRONG, MILD, THREAT, TARGET, NEG, REPORT, INTENT, VERY, END = range(10)
 # Rewritten classes; the last transducer gives their weights.
@@ -187,26 +187,27 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_clean = (sum(n for (_, t), n in sizes.items() if t == x) for x in (True, False))
     if not n_toxic or not n_clean:
         return frozenset()
-    often = _surroundings(rows.where("toxic")).where(F.col("around") >= SUPPORT).orderBy(F.desc("around"), "lang", "word").limit(LEARNT_AT_MOST).collect()
-    in_toxic = {(r["lang"], r["word"]): r["around"] for r in often if r["word"] not in CLASS}
-    if not in_toxic:
+    known = F.col("word").isin(sorted(CLASS))
+    often = materialize(docs.sparkSession, _surroundings(rows.where("toxic")).where((F.col("around") >= SUPPORT) & ~known), "toxic-words")
+    # What is broadcast has a bound; beyond it the clean documents' words are counted whole and joined. The result is the same.
+    few = often.select("word").distinct().limit(WORDS_AT_ONCE + 1).collect()
+    if not few:
         return frozenset()
-    wanted = frozenset(w for _, w in in_toxic)
-    in_clean = {(r["lang"], r["word"]): r["docs"] for r in _document_counts(rows.where("not toxic"), wanted).collect()}
-    all_toxic, all_clean = Counter(), Counter()
-    for held, total in ((in_toxic, all_toxic), (in_clean, all_clean)):
-        for (_, w), n in held.items():
-            total[w] += n
+    clean = _document_counts(rows.where("not toxic"), frozenset(r["word"] for r in few) if len(few) <= WORDS_AT_ONCE else None)
+    clean = materialize(docs.sparkSession, clean, "clean-words")
+    sums = docs.sparkSession.createDataFrame([(x, sizes.get((x, True), 0), sizes.get((x, False), 0)) for x in sorted({x for x, _ in sizes})], "lang string, of_toxic long, of_clean long")
 
-    def ratio(toxic: int, of_toxic: int, clean: int, of_clean: int) -> float:
-        return math.log((toxic + 0.5) / (of_toxic + 1)) - math.log((clean + 0.5) / (of_clean + 1))
+    def ratio(toxic: Column, of_toxic: Column, clean: Column, of_clean: Column) -> Column:
+        return F.log((toxic + 0.5) / (of_toxic + 1)) - F.log((F.coalesce(clean, F.lit(0)) + 0.5) / (of_clean + 1))
 
-    return frozenset(
-        w
-        for (lang, w), n in in_toxic.items()
-        if ratio(n, sizes[lang, True], in_clean.get((lang, w), 0), sizes.get((lang, False), 0)) >= RATIO
-        and ratio(all_toxic[w], n_toxic, all_clean[w], n_clean) >= RATIO
-    )
+    by_lang = often.join(clean, ["lang", "word"], "left").join(sums, "lang")
+    by_lang = by_lang.where(ratio(F.col("around"), F.col("of_toxic"), F.col("docs"), F.col("of_clean")) >= RATIO).select("word").distinct()
+    over_all = often.groupBy("word").agg(F.sum("around").alias("around")).join(clean.groupBy("word").agg(F.sum("docs").alias("docs")), "word", "left")
+    over_all = over_all.where(ratio(F.col("around"), F.lit(n_toxic), F.col("docs"), F.lit(n_clean)) >= RATIO)
+    found = frozenset(r["word"] for r in over_all.join(by_lang, "word", "left_semi").select("word").collect())
+    discard(often)
+    discard(clean)
+    return found
 
 
 def _surroundings(rows: DataFrame) -> DataFrame:
@@ -226,15 +227,16 @@ def _surroundings(rows: DataFrame) -> DataFrame:
     return found.select("lang", "word", F.xxhash64("pair").alias("pair")).distinct().groupBy("lang", "word").agg(F.count("*").alias("around"))
 
 
-def _document_counts(rows: DataFrame, wanted: frozenset[str]) -> DataFrame:
-    """``(lang, word, docs)``: how many documents of a language hold each of the words."""
+def _document_counts(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """``(lang, word, docs)``: how many documents of a language hold each of the words, or each word there is."""
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                held.update((lang, w) for w in shared.value.intersection(_WORD.findall(text.lower())))
+                found = set(_WORD.findall(text.lower()))
+                held.update((lang, w) for w in (found if shared.value is None else shared.value & found))
             if held:
                 langs, words = zip(*held, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(words), pa.array(held.values(), pa.int64())], ["lang", "word", "docs"])

@@ -1,6 +1,8 @@
 """Words learnt from labelled documents: recall and precision by language on held-out labels."""
 
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,3 +36,43 @@ def test_copies_are_no_evidence(spark):
     assert toxicity.score_text("Quorf and quorf.", frozenset({"quorf"}))[0] >= toxicity.THRESHOLD > toxicity.score_text("one quorf", frozenset({"quorf"}))[0]
     kept = {r["doc_id"] for r in toxicity.clean_documents(docs, labels=labels).collect()}
     assert kept == set(range(len(texts)))
+
+
+def test_learnt_words_are_brute_force(spark, monkeypatch):
+    """Recounted in plain Python from the documents; words too many to broadcast are counted by a join with the same result."""
+    rng = random.Random(8)
+    texts, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        some = [f"w{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}" for _ in range(rng.randrange(3, 30))]
+        if toxic and i % 8 == 0:
+            some.insert(rng.randrange(len(some)), rng.choice(["vexo", "Vexa", "idiot"]))
+        if rng.random() < 0.02:
+            some.insert(0, "vexa")
+        texts.append((i, " ".join(some), rng.choice(["aa", "bb", None])))
+        labels.append((i, int(toxic)))
+    texts.append((900, None, "aa"))
+    docs, marks = spark.createDataFrame(texts, "doc_id long, text string, lang string"), spark.createDataFrame([*labels, (900, 1)], "doc_id long, toxic int")
+    around, clean, of = {}, {}, {}
+    for (_, text, lang), (_, toxic) in zip(texts, labels, strict=False):
+        lang = lang or ""
+        of[lang, toxic] = of.get((lang, toxic), 0) + 1
+        words = ["", *text.lower().split(), ""]
+        for w in set(words) - {""}:
+            k = words.index(w)
+            if toxic:
+                around.setdefault((lang, w), set()).add((words[k - 1], words[k + 1]))
+            else:
+                clean[lang, w] = clean.get((lang, w), 0) + 1
+    often = {k: len(v) for k, v in around.items() if len(v) >= toxicity.SUPPORT and k[1] not in toxicity.CLASS}
+    ratio = lambda t, nt, c, nc: math.log((t + 0.5) / (nt + 1)) - math.log((c + 0.5) / (nc + 1))
+    total = lambda held, w: sum(n for (_, x), n in held.items() if x == w)
+    size = lambda t: sum(n for (_, x), n in of.items() if x == t)
+    want = {
+        w
+        for (lang, w), n in often.items()
+        if ratio(n, of[lang, 1], clean.get((lang, w), 0), of[lang, 0]) >= toxicity.RATIO and ratio(total(often, w), size(1), total(clean, w), size(0)) >= toxicity.RATIO
+    }
+    assert want and toxicity.learn(docs, marks) == want
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 0)
+    assert toxicity.learn(docs, marks) == want
