@@ -283,7 +283,6 @@ def _met(classes: DataFrame, threshold: float, home_points: int, listed: bool) -
                 units, own_cells = _unit(_matrix(b.column("v"))), np.asarray(b.column("cell"))
                 chunk = np.asarray(b.column("h1")).astype(np.uint64) % np.diff(edge)[own_cells].astype(np.uint64)
                 own_bucket = edge[own_cells] + chunk.astype(np.int64)
-                between = distances(centres, centres)
                 low = edge[first]
                 cell_of = np.repeat(np.arange(len(centres)), np.diff(edge[first : first + len(centres) + 1]))
                 numbers = low + np.arange(cell_of.size)
@@ -292,7 +291,7 @@ def _met(classes: DataFrame, threshold: float, home_points: int, listed: bool) -
                     here, cell = own_bucket[at : at + len(u)], own_cells[at : at + len(u)] - first
                     d = distances(u, centres)
                     mine = d[np.arange(len(u)), cell][:, None]
-                    plane = (d * d - mine * mine) <= 2 * (eps + LOOSE) * between[cell] + LOOSE
+                    plane = (d * d - mine * mine) <= 2 * (eps + LOOSE) * distances(centres[cell], centres) + LOOSE
                     may = (d <= mine + 2 * eps + LOOSE) & plane
                     may[np.arange(len(u)), cell] = True
                     may = may[:, cell_of]
