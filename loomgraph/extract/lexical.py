@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import io
 import re
+import tokenize
 import warnings
 from bisect import bisect_right
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 NAME = "lexical/1"
@@ -24,7 +27,13 @@ _CLASS_WORDS = {
 }
 _CONTROL = set("if for while switch catch return throw else do try new typeof instanceof await yield case in of when match loop foreach lock using fixed sizeof nameof assert super this synchronized function fn fun func def elif unless until except finally with lambda print_ isset empty unset array list echo include require default delete void operator".split())
 _GO_TYPES = set("bool byte complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr any".split())
+_OWN_CONTROL = {"php": {"use"}, "kotlin": {"constructor"}, "typescript": {"async"}, "tsx": {"async"}, "javascript": {"async"}, "dart": {"async"}}
 _NO_BARE_ARGS = ("java",)
+_ANY_ARGUMENT = r"\s*(?:::|&)?\$?([A-Za-z_][\w$]*)\s*"
+_ARGUMENT = {
+    "kotlin": r"\s*(?:(?:\w+\s*)?::\s*)?([A-Za-z_]\w*)\s*",
+    "php": r"\s*(?:\$|(?:\\?\w+\\)*(?=\w+\s*\(\s*\.\.\.))([A-Za-z_]\w*)(?:\s*\(\s*\.\.\.\s*\))?\s*",  # a variable, or a function taken as a value
+}
 _NOT_A_CALL_AFTER = {"new", "function", "fn", "fun", "func", "def", "class", "struct", "interface", "enum", "record", "trait"}
 
 
@@ -52,18 +61,20 @@ def extract(source: str, language: str) -> Extraction:
 
 def _python(source: str) -> Extraction:
     out = Extraction()
-    out.comments = [(m[0], m.start()) for m in re.finditer(r"(?m)(?<![\"'\w])#[^\n]*", source)]
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError) as e:
         out.errors.append((getattr(e, "lineno", 0) or 0, 1, type(e).__name__))
+        out.comments = [(m[0], m.start()) for m in re.finditer(r"(?m)(?<![\"'\w])#[^\n]*", source)]
         return out
     starts = [0]
     for line in source.splitlines(keepends=True):
         starts.append(starts[-1] + len(line))
     lines = source.splitlines(keepends=True)
+    with suppress(tokenize.TokenError, SyntaxError):
+        out.comments = [(t.string, starts[t.start[0] - 1] + t.start[1]) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
 
     def place(line: int, column: int) -> int:
         text = lines[line - 1] if line <= len(lines) else ""
@@ -156,6 +167,8 @@ class _Scanner:
         words = _CLASS_WORDS[self.language]
         for m in re.finditer(rf"(?<![\w.$@])(?:{words})\b(?:\s+class)?\s*(?:<[^{{;>]*>)?\s*(?:[\w:<>, &]+?\bfor\s+)?(?P<n>[A-Za-z_$][\w$]*)", self.code):
             name = m["n"]
+            if self.language == "rust" and re.match(r"\s*::", self.code[m.end() :]) or re.fullmatch(r"impl\b.*\bfor\b.*", self.code[m.start() : m.start("n")].strip(), re.DOTALL) is None and re.match(r"(?:<[^{};]*>)?\s+for\b", self.code[m.end() :]):
+                continue
             if name in ("extends", "implements", "where", "for") or (self.language == "cpp" and re.match(r"\s*[;*&>,)]", self.code[m.end() :])):
                 continue
             opening = re.compile(r"[{;]").search(self.code, m.end())
@@ -209,6 +222,8 @@ class _Scanner:
             for m in re.finditer(r"(?<!\w)func\s*(?:\([^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?\(", code):
                 self._head(m.start(), m[1], m.end() - 1)
             for m in re.finditer(r"(?<!\w)(\w+)\s*(?::=|=)\s*func\s*\(", code):
+                if code[: m.start()].rstrip(" \t").endswith(","):  # one name of several
+                    continue
                 self._head(m.start(), m[1], m.end() - 1)
         elif lang == "kotlin":
             for m in re.finditer(r"(?<!\w)fun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(\w+)\s*\(", code):
@@ -240,6 +255,11 @@ class _Scanner:
                     arrow = re.compile(rf"\s*(?:{lambdas})").match(code, close + 1) if close is not None else None
                     if arrow:
                         self._maybe(m.start(), m[1], self._body(self._after(arrow.end())))
+            if lang == "dart":
+                classes = {d[1] for d in self.out.definitions if d[0] == "class"}
+                self.out.definitions = [d for d in self.out.definitions if d[0] == "class" or d[1] not in classes]  # constructors
+                for m in re.finditer(r"(?<![\w.])get\s+(\w+)\s*(?:async\*?\s*|sync\*\s*)?(=>|\{)", code):
+                    self._maybe(m.start(), m[1], self.pair.get(m.start(2)) if m[2] == "{" else self._expression_end(self._after(m.end())))
             elif lang == "cpp":
                 for m in re.finditer(r"(?<!\w)auto\s+(\w+)\s*=\s*\[[^\]]*\]\s*(?:\([^)]*\))?[^{;]*\{", code):
                     self._maybe(m.start(), m[1], self.pair.get(m.end() - 1))
@@ -276,7 +296,7 @@ class _Scanner:
     def _methods(self, head: str, out_of_line: bool = False) -> None:
         for m in re.finditer(head, self.code):
             name = m[1]
-            if name in _CONTROL or re.search(r"(?:\bnew|\breturn|=>|->|=|\bfunction)\s*$", self.code[max(0, m.start() - 12) : m.start()]):
+            if name in _CONTROL or re.search(r"(?:\bnew|\breturn|=>|->|=|\bfunction\s*\*?|\brecord)\s*$", self.code[max(0, m.start() - 12) : m.start()]):
                 continue
             close = self.pair.get(m.end() - 1)
             if close is None:
@@ -315,6 +335,7 @@ class _Scanner:
 
     def _calls(self) -> None:
         lang, code = self.language, self.code
+        control = _CONTROL | _OWN_CONTROL.get(lang, set())
         heads = {(d[1], d[2]) for d in self.out.definitions}
         names_at = {m for n, s in heads for m in [code.find(n, s)]}
         generic = r"(?:::)?(?:<[\w\s,.:<>\[\]?&']*>)?" if lang in ("typescript", "tsx", "rust", "cpp", "java", "dart") else ""
@@ -323,7 +344,7 @@ class _Scanner:
             name = m[1]
             before = code[max(0, m.start() - 16) : m.start()].rstrip()
             word = re.search(r"[\w$]+$", before)
-            if name in _CONTROL or m.start() in names_at or (word and word[0] in _NOT_A_CALL_AFTER) or (lang == "go" and name in _GO_TYPES and not before.endswith(".")):
+            if name in control or m.start() in names_at or code[max(0, m.start() - 1) : m.start()] == "~" or (word and word[0] in _NOT_A_CALL_AFTER) or (lang == "go" and name in _GO_TYPES and not before.endswith(".")):
                 continue
             self.out.calls.append((name.lstrip("$") if lang == "php" else name, m.start()))
             if lang not in _NO_BARE_ARGS:
@@ -333,7 +354,7 @@ class _Scanner:
         if lang == "kotlin":
             self.out.calls += [(m[1], m.start()) for m in re.finditer(r"(?<!\w)([a-z]\w*)\s*\{", code) if m[1] not in _CONTROL and m.start(1) not in names_at and m[1] not in ("object", "init", "get", "set", "companion", "class", "interface", "enum")]
         if lang == "ruby":
-            self.out.calls += [(m[1], m.start(1)) for m in re.finditer(r"(?<=\.)([A-Za-z_]\w*[?!]?)(?!\s*\()(?!\s*=(?!=))", code)]
+            self.out.calls += [(m[1], m.start(1)) for m in re.finditer(r"(?<=\.)([A-Za-z_]\w*+[?!]?+)(?!\s*\()(?!\s*=(?![=~>]))", code) if m.start() not in names_at]
             self.out.calls += [(m[1], m.start(1)) for m in re.finditer(r"(?<![\w.:@$])([a-z_]\w*[?!])(?!\s*[(=])", code) if m.start(1) not in names_at]
         self.out.calls.sort(key=lambda c: c[1])
 
@@ -352,7 +373,7 @@ class _Scanner:
             at += 1
         del depth
         for a, b in zip(starts, [*(s - 1 for s in starts[1:]), close], strict=True):
-            m = re.fullmatch(r"\s*(?:::|&)?\$?([A-Za-z_][\w$]*)\s*", self.code[a:b])
+            m = re.fullmatch(_ARGUMENT.get(self.language, _ANY_ARGUMENT), self.code[a:b])
             if m and m[1] not in ("true", "false", "null", "None", "nil", "this", "self", "undefined", "nullptr"):
                 self.out.calls.append((m[1], a + m.start(1)))
 

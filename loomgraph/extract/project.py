@@ -49,7 +49,12 @@ def scan_files(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(scan, _SCHEMA)
 
 
-def extract_project(files: DataFrame) -> dict[str, DataFrame]:
+def extract_code_graph(files: DataFrame) -> dict[str, DataFrame]:
+    """The same tables as :func:`extract_project`, each file by itself: calls resolve against the names of their own file only."""
+    return extract_project(files, own_names_only=True)
+
+
+def extract_project(files: DataFrame, own_names_only: bool = False) -> dict[str, DataFrame]:
     """The tables of a tree: Function, Class, Module, Spec stubs, DEFINES, IMPLEMENTS, CALLS, plus resolved calls, health and counts."""
     flat = cut(scan_files(files), "extract")
     definitions = flat.where("kind in ('function', 'class')")
@@ -59,7 +64,11 @@ def extract_project(files: DataFrame) -> dict[str, DataFrame]:
     sites = flat.where("kind = 'call'").select(F.concat_ws("\x1f", "file", "ordinal").alias("site"), "file", "start", "end", F.col("name").alias("callee"))
     around = ranges.smallest_containing(sites, functions.select("file", "id", "start", "end", "ordinal"))
     raw = sites.select("site", "callee").join(around.select("site", "file", F.col("scope_id").alias("from_id")), "site").select("from_id", "callee", "file")
-    resolved = cut(resolve.resolve_calls(raw, resolve.bare_names(functions.select("file", "name", "id", "ordinal"))), "resolved")
+    resolved = resolve.resolve_calls(raw, resolve.bare_names(functions.select("file", "name", "id", "ordinal")))
+    if own_names_only:
+        local = F.col("outcome") == "local"
+        resolved = resolved.withColumns({"to_id": F.when(local, F.col("to_id")), "outcome": F.when(local, F.col("outcome")).otherwise("unresolved")})
+    resolved = cut(resolved, "resolved")
     specs = flat.where("kind = 'comment'").select(F.col("file").alias("src"), F.explode(T.implemented_specs(F.col("text"))).alias("dst")).distinct()
     seen = functions.groupBy("id").agg(F.min_by(F.struct("name", "file", "line"), "ordinal").alias("f"))
     none = lambda t: F.lit(None).cast(t)

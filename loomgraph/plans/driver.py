@@ -114,8 +114,12 @@ health AS (SELECT path, lang AS language, doc_id AS ordinal,
 
 
 def feedback_events(spark, sf) -> DataFrame:
+    return as_feedback(table(spark, sf, "events"))
+
+
+def as_feedback(events: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for kv in (("error", "test_fail"), ("view", "test_pass"), ("purchase", "human_fix"), ("click", "status_change"), ("signup", "unknown")) for x in kv])
-    return table(spark, sf, "events").select(F.struct("ts", "event_id").alias("seq"), "event_id", text("user_id").alias("node_id"), kind[F.col("event_type")].alias("kind"))
+    return events.select(F.struct("ts", "event_id").alias("seq"), "event_id", text("user_id").alias("node_id"), kind[F.col("event_type")].alias("kind"))
 
 
 def judged_nodes(spark, sf) -> DataFrame:

@@ -30,6 +30,23 @@ def ext09_implements(spark, sf):
     return project.extract_project(_files(spark, sf))["IMPLEMENTS"]
 
 
+#: A function that calls another, in each language; ``@`` stands for a part's number.
+_SNIPPETS = {
+    "ts": "function f@() { g@(); } // c@", "tsx": "function f@() { g@(); } // c@", "js": "function f@() { g@(); } // c@", "cs": "class C { void f@() { g@(); } } // c@", "py": "def f@():\n    g@()  # c@\n",
+    "go": "func f@() { g@() } // c@", "java": "class C { void f@() { g@(); } } // c@", "kt": "fun f@() { g@() } // c@", "rs": "fn f@() { g@(); } // c@", "cc": "void f@() { g@(); } // c@",
+    "rb": "def f@\n  g@() # c@\nend\n", "php": "<?php function f@() { g@(); } // c@", "dart": "void f@() { g@(); } // c@",
+}
+
+
+def ext02_languages(spark, sf):
+    """A file per part, its language by its number."""
+    n = (F.col("ordinal") % len(_SNIPPETS) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), n)
+    files = D.functions(spark, sf).select(F.concat(F.lit("p"), "id", F.lit("."), pick(_SNIPPETS)).alias("path"), F.replace(pick(_SNIPPETS.values()), F.lit("@"), F.col("id")).alias("source"))
+    found = project.scan_files(files).where("kind in ('function', 'call', 'comment')")
+    return found.select("file", "language", "kind", F.coalesce("name", F.regexp_extract("text", "c[0-9]+", 0)).alias("name"))
+
+
 def _occurrences(spark, sf):
     """Each part is a symbol, defined in its brand's file at its number; each step is a use inside its caller."""
     parts = D.functions(spark, sf)
@@ -66,7 +83,10 @@ def fil05_same_subtree(spark, sf):
 
 
 _SITE = "CASE WHEN a.file = b.file THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END"
+_LANGUAGE = dict(ts="typescript", tsx="tsx", js="javascript", cs="csharp", py="python", go="go", java="java", kt="kotlin", rs="rust", cc="cpp", rb="ruby", php="php", dart="dart")
 SQL = {
+    "ext02_languages": f"""WITH f AS (SELECT p_partkey AS n, {list(_SNIPPETS)}[p_partkey % {len(_SNIPPETS)} + 1] AS suffix, {list(_LANGUAGE.values())}[p_partkey % {len(_SNIPPETS)} + 1] AS language FROM part), k AS (SELECT * FROM (VALUES ('function', 'f'), ('call', 'g'), ('comment', 'c')) AS t(kind, letter))
+  SELECT concat('p', n, '.', suffix) AS file, language, kind, concat(letter, n) AS name FROM f CROSS JOIN k""",
     "ext15_extract_calls": f"WITH {D.FUNCTIONS}, {D.CALLS} SELECT concat('src/', a.file, '.ts#f', src) AS src, concat('src/', b.file, '.ts#f', dst) AS dst, call_count, {_SITE} AS confidence, 'tree-sitter' AS provider FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst",
     "ext01_extract_functions": f"WITH {D.FUNCTIONS} SELECT concat('src/', file, '.ts#f', id) AS id, concat('f', id) AS name, concat('src/', file, '.ts') AS file, row_number() OVER (PARTITION BY file ORDER BY ordinal) AS start_line FROM functions",
     "ext09_implements": f"WITH {D.FUNCTIONS} SELECT DISTINCT concat('src/', file, '.ts') AS src, concat('SPEC-', ordinal % 10) AS dst FROM functions",

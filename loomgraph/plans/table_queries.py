@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..lineage import cut
 from ..operators import feedback, health, knowledge, merge, ranges, resolve
+from ..sources import symbols
+from ..streaming.feedback import evolved
 from . import driver as D
 from .driver import table
 
@@ -96,20 +98,36 @@ def sf03_first_heading(spark, sf):
     return _docs(spark, sf).select("ordinal", T.first_heading(F.col("content")).alias("heading"))
 
 
+def _after_text(spark, sf, said):
+    """Each document's whole text with a remark behind it."""
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), said).alias("raw"))
+
+
 def sf04_classify_ref(spark, sf):
-    raw = F.concat(F.lit("see x"), F.col("source"), F.lit(" spec-"), D.text("doc_id"), F.lit(" adr-7"))
-    return table(spark, sf, "documents").select("doc_id", T.classify_ref(raw).alias("ref"), T.ref_kind(T.classify_ref(raw)).alias("kind"))
+    ref = T.classify_ref(F.col("raw"))
+    return _after_text(spark, sf, F.concat(F.lit(" see x"), F.col("source"), F.lit(" spec-"), D.text("doc_id"), F.lit(" adr-7"))).select("doc_id", ref.alias("ref"), T.ref_kind(ref).alias("kind"))
 
 
 def sf05_ref_ids(spark, sf):
-    raw = F.concat(F.lit("dec-"), (F.col("doc_id") % 9).cast("string"), F.lit(", SPEC-"), D.text("doc_id"), F.lit(" and MYSPEC-5 and DEC-"), (F.col("doc_id") % 9).cast("string"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(T.ref_ids(raw), ",").alias("refs"))
+    said = F.concat(F.lit(" dec-"), (F.col("doc_id") % 9).cast("string"), F.lit(", SPEC-"), D.text("doc_id"), F.lit(" and MYSPEC-5 and DEC-"), (F.col("doc_id") % 9).cast("string"))
+    return _after_text(spark, sf, said).select("doc_id", F.array_join(F.array_sort(T.ref_ids(F.col("raw"))), ",").alias("refs"))
 
 
 def sf06_implements(spark, sf):
     word = F.when(F.col("doc_id") % 4 == 0, "implements").when(F.col("doc_id") % 4 == 1, "@spec").when(F.col("doc_id") % 4 == 2, "see").otherwise("@specification")
-    raw = F.concat(F.lit("// "), word, F.lit(" SPEC-"), D.text("doc_id"), F.lit(" DEC-1"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(T.implemented_specs(raw), ",").alias("specs"))
+    said = F.concat(F.lit(" // "), word, F.lit(" SPEC-"), D.text("doc_id"), F.lit(" DEC-1"))
+    return _after_text(spark, sf, said).select("doc_id", F.array_join(F.array_sort(T.implemented_specs(F.col("raw"))), ",").alias("specs"))
+
+
+def _symbols(spark, sf):
+    """A symbol for each part: a method, a type or a field of its brand's module."""
+    rest = F.when(F.col("p_partkey") % 3 == 0, "m().").when(F.col("p_partkey") % 3 == 1, "").otherwise("f.")
+    return table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("file"), F.concat(F.lit("index npm pkg 1.0 `"), "p_brand", F.lit("`/C"), D.text("p_partkey"), F.lit("#"), rest).alias("symbol"))
+
+
+def sf20_symbols(spark, sf):
+    kind, name = symbols.symbol_kind("symbol"), symbols.symbol_name("symbol")
+    return _symbols(spark, sf).select("p_partkey", kind.alias("kind"), name.alias("name"), symbols.canonical_id(F.col("file"), kind, name).alias("id"))
 
 
 def sf12_last_segment(spark, sf):
@@ -234,6 +252,12 @@ def sage02_feedback_trace(spark, sf):
     return t.select("node_id", F.col("seq.event_id").alias("event_id"), F.round("before", 9).alias("before"), F.round("after", 9).alias("after"))
 
 
+def sage03_evolution(spark, sf):
+    """The same as a stream that is read file by file."""
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parque[t]")  # a pattern, as the table may be one file
+    return evolved(D.judged_nodes(spark, sf), D.as_feedback(stream)).withColumn("confidence", F.round("confidence", 9))
+
+
 def sage04_top_by_confidence(spark, sf):
     return feedback.top_by_confidence(D.judged_nodes(spark, sf), 25)
 
@@ -286,6 +310,8 @@ def set02_relation_union(spark, sf):
 
 _T = f"{D.HEALTH}, dirs AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE ordinal IN (SELECT doc_id FROM labels)), bad AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM health WHERE failed IS NOT NULL OR error_nodes > 0), touched AS (SELECT DISTINCT path FROM bad b WHERE EXISTS (SELECT 1 FROM dirs d WHERE d.dir = b.dir OR (d.dir <> '' AND b.dir <> '' AND (starts_with(b.dir, d.dir || '/') OR starts_with(d.dir, b.dir || '/')))))"
 
+_ID = "(?i)(?:^|[^A-Za-z0-9_])((?:XSPEC|SPEC|XADR|ADR|DEC)-[0-9]+)"
+
 SQL = {
     "src07_knowledge_nodes": f'WITH {_DOCS} SELECT id, label, title, status, "date", confidence, origin FROM nodes',
     "sf10_knowledge_edges": f"WITH {_DOCS} SELECT rel, src, dst FROM edges",
@@ -298,9 +324,13 @@ SQL = {
     "sf01_front_matter": f"WITH {_DOCS} SELECT ordinal, f_id AS id, f_title AS title, CASE WHEN front = '' THEN 0 ELSE 5 END::INTEGER AS n_fields, CAST(length(body) AS INTEGER) AS body_length FROM fields",
     "sf02_extract_refs": f"WITH {_DOCS} SELECT ordinal, array_to_string(list_transform(regexp_extract_all(body, '\\[\\[([^\\]]+)\\]\\]', 1), lambda x: trim(x)), '|') AS refs FROM fields",
     "sf03_first_heading": f"WITH {_DOCS} SELECT ordinal, nullif(regexp_extract(content, '(?m)^#\\s+(.+)$', 1), '') AS heading FROM content",
-    "sf04_classify_ref": "SELECT doc_id, concat('SPEC-', doc_id) AS ref, 'Spec' AS kind FROM documents",
-    "sf05_ref_ids": "SELECT doc_id, concat('DEC-', doc_id % 9, ',SPEC-', doc_id) AS refs FROM documents",
-    "sf06_implements": "SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN concat('SPEC-', doc_id) ELSE '' END AS specs FROM documents",
+    "sf04_classify_ref": f"WITH said AS (SELECT doc_id, upper(nullif(regexp_extract(concat(text, ' see x', source, ' spec-', doc_id, ' adr-7'), '{_ID}', 1), '')) AS ref FROM documents) SELECT doc_id, ref, CASE WHEN regexp_matches(ref, '^X?SPEC-') THEN 'Spec' WHEN ref IS NOT NULL THEN 'Decision' END AS kind FROM said",
+    "sf05_ref_ids": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(concat(text, ' dec-', doc_id % 9, ', SPEC-', doc_id, ' and MYSPEC-5 and DEC-', doc_id % 9), '{_ID}', 1), lambda x: upper(x)))), ',') AS refs FROM documents",
+    "sf06_implements": f"""WITH said AS (SELECT doc_id, concat(text, ' // ', CASE doc_id % 4 WHEN 0 THEN 'implements' WHEN 1 THEN '@spec' WHEN 2 THEN 'see' ELSE '@specification' END, ' SPEC-', doc_id, ' DEC-1') AS raw FROM documents)
+  SELECT doc_id, CASE WHEN regexp_matches(raw, '(?i)(?:^|[^A-Za-z0-9_])(?:implements|@spec)(?:[^A-Za-z0-9_]|$)|@implements(?:[^A-Za-z0-9_]|$)')
+  THEN array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(raw, '{_ID}', 1), lambda x: upper(x)), lambda x: regexp_matches(x, '^X?SPEC-')))), ',') ELSE '' END AS specs FROM said""",
+    "sf20_symbols": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'other' END AS kind, concat('C', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.m' ELSE '' END) AS name,
+  concat(p_brand, CASE WHEN p_partkey % 3 = 1 THEN '#class:' ELSE '#' END, 'C', p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '.m' ELSE '' END) AS id FROM part""",
     "sf12_last_segment": "SELECT page_id, regexp_extract(translate(url, '-', chr(92)), '[^/\\\\]*$') AS segment FROM pages",
     "sf14_module_path": "SELECT page_id, regexp_replace(regexp_replace(replace(concat('.', chr(92), '/', url), chr(92), '/'), '^\\./', ''), '^/+', '') AS path FROM pages",
     "sf15_dir_of": "SELECT page_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir FROM pages",
@@ -346,4 +376,6 @@ SQL = {
     "set02_relation_union": f"WITH {D.KNOWLEDGE}, {D.CALLS} SELECT 'IMPACTS' AS rel, count(*) AS edges, count(DISTINCT src) AS sources FROM impacts UNION ALL SELECT 'SUPERSEDES', count(*), count(DISTINCT src) FROM supersedes UNION ALL SELECT 'CALLS', count(*), count(DISTINCT src) FROM calls",
 }
 
+SQL["sage03_evolution"] = SQL["sage01_apply_feedback"]
+
 QUERIES = {k: globals()[k] for k in SQL}

@@ -158,6 +158,11 @@ def symbol_kind(symbols: pd.Series) -> pd.Series:
     return symbols.map(classify_symbol)
 
 
+@F.pandas_udf(StringType())
+def symbol_name(symbols: pd.Series) -> pd.Series:
+    return symbols.map(qualified_name)
+
+
 def canonical_id(file: Column, kind: Column, name: Column) -> Column:
     return F.when(kind == "class", F.concat(file, F.lit("#class:"), name)).otherwise(F.concat(file, F.lit("#"), name))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..lineage import cut, drop, shared_dir
 from ..operators import feedback
 
 
@@ -36,6 +38,27 @@ def running_confidence(events: DataFrame, late: str | None = None) -> DataFrame:
     return rows.groupBy("node_id").applyInPandasWithState(step, "node_id string, seq long, before double, after double", "confidence double", "append", GroupStateTimeout.NoTimeout)
 
 
+def evolved(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """``nodes(id, confidence)`` after all that a stream of events holds now, batch by batch.
+
+    Each batch's result is a table in the shared folder, so a batch that is run again after a loss starts from the same rows.
+    """
+    now = [cut(nodes, "evolved")]
+    done: list[int] = []
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if number in done:
+            return
+        before = now[0]
+        now[0] = cut(feedback.apply_feedback(before, batch), "evolved")
+        done.append(number)
+        drop(before)
+
+    checkpoint = f"{shared_dir(events.sparkSession)}/evolved-{uuid.uuid4().hex}"
+    events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return now[0]
+
+
 def evolve(store, events: DataFrame, label: str, checkpoint: str):
     """Applies a stream to a stored label, batch by batch; the query's handle is returned."""
 
