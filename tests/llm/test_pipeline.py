@@ -44,3 +44,21 @@ def test_stage_contract(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "bpe"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(20), SF).columns == docs.columns
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, an empty and a very long text, repeated rows, clashing columns; an empty table."""
+    long = " ".join(f"word{k} goes" for k in range(60_000))
+    rows = [(1, "some words in a row", "en"), (1, "some words in a row", "en"), (None, "no id here", "en"), (3, None, "en"), (4, "", None), (8, "", "en"), (5, long, "en"), (6, "some words in a row", None)]
+    ddl = "doc_id long, text string, lang string, n_chars long, row int, node string, group_id int, low int, token_ids int, kept int, `a.b` int"
+    docs = spark.createDataFrame([(*r, 0, 1, "n", 1, 1, 1, 1, 7) for r in rows], ddl)
+    for name, some, want in (("full", docs, [None, 1, 3, 4, 5]), ("empty", docs.limit(0), [])):
+        at = tmp_path / name
+        some.write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(0, "alpha beta gamma delta epsilon zeta"), (None, None)], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(at / "labels.parquet"))
+        got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(at)).collect()}
+        assert sorted(got, key=lambda x: x or 0) == want
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()}
+    assert got[5]["text"] == long and got[5]["n_tokens"] == len(got[5]["token_ids"]) > 60_000
+    assert got[3]["token_ids"] is None and got[4]["token_ids"] == [] and got[1]["a.b"] == 7 and got[1]["node"] == "n"
