@@ -40,14 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, mix64, strings_by_size
+from .common import discard, materialize, mix64, release, strings_by_size
 from .words import char_places, grams, split_words
 
 K = 32
 WINDOW = 19
 ANCHOR = 8
 LEAST_WORDS = K + WINDOW - 1
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 500_000
 
 
 def kmers(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,6 +97,7 @@ def _paths(docs: DataFrame, id_col: str, text_col: str, row_col: str | None) ->
                 offsets = pa.array(np.append(np.searchsorted(text, has), text.size).astype(np.int32))
                 where = pa.array(has + run[0])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in ("row", "doc_id", "key")), pa.ListArray.from_arrays(offsets, pa.array(edge)), pa.ListArray.from_arrays(offsets, pa.array(start.astype(np.int32)))], ["row", "doc_id", "key", "edges", "starts"])
+            release()
 
     number = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row"), F.col(id_col).alias("doc_id"), F.md5(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -211,6 +212,7 @@ def _grown(docs: DataFrame, text_col: str, keys: DataFrame, spans: DataFrame) ->
                     [pa.array([keys_[own[i]] for i in of]), pa.array(at, pa.int32()), pa.array(right_), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(words))],
                     ["key", "at", "right", "words"],
                 )
+            release()
 
     around = texts.join(asked, "key").sortWithinPartitions("key").mapInArrow(read, "key string, at int, right boolean, words array<int>").dropDuplicates(["key", "at", "right"])
     around = materialize(spark, around, "around")
