@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, drop
 from ..schema import clamp
+from . import vectors
 from .traverse import neighbourhood
 
 DAMPING, ITERATIONS = 0.85, 20
@@ -14,24 +15,15 @@ DAMPING, ITERATIONS = 0.85, 20
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
     """``(id, rank)``; ranks sum to 1, what dangling vertices hold is spread evenly. Repeated edges count once."""
-    v = vertices.select("id").distinct()
-    e = edges.select("src", "dst").where("src is not null and dst is not null").distinct().join(v.toDF("src"), "src", "left_semi").join(v.toDF("dst"), "dst", "left_semi")
-    out = e.groupBy("src").agg(F.count("*").alias("degree"))
-    n = v.count()
+    v, n = vectors.numbered(vertices)
     if not n:
         return v.select("id", F.lit(0.0).alias("rank"))
-    e = cut(e.join(out, "src"), "links")
-    rank = cut(v.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("degree").isNull().alias("dangling"), F.lit(1.0 / n).alias("rank")), "rank")
-    for k in range(iterations):
-        before = rank
-        lost = F.broadcast(rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost")))  # a column, not a literal: every round runs the same compiled code
-        sent = e.join(rank.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        rank = rank.select("id", "dangling").join(sent, "id", "left").crossJoin(lost).select("id", "dangling", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        # Each round reads the last one twice, so plans left to grow would double with every round.
-        rank = cut(rank, "rank")
-        drop(before)
-    drop(e)
-    return rank.select("id", "rank")
+    e = edges.select("src", "dst").join(v.toDF("src", "s"), "src").join(v.toDF("dst", "d"), "dst").select("s", F.col("d").alias("i"))
+    links = v.select("i").join(e.groupBy("i").agg(F.collect_set("s").alias("sources")), "i", "left")
+    links = cut(links.select("i", F.coalesce("sources", F.array().cast("array<bigint>")).alias("sources")), "links")
+    rank = vectors.pagerank_rounds(links, n, damping, iterations)
+    drop(links)
+    return v.join(rank, "i").select("id", "rank")
 
 
 def _keys(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
