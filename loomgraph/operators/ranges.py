@@ -12,30 +12,26 @@ from pyspark.sql.window import Window
 
 from ..schema import INDEX_CONFIDENCE, INDEX_PROVIDER
 
-MOST_LEVELS = 40
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(4.0), level)).cast("long")
 
 
 def _bins(start: Column, end: Column) -> Column:
-    """Cells ``(level, number)`` of twofold wider grids, two neighbours at most of the level on which the interval is shorter than a cell."""
-    level = F.ceil(F.log2(F.greatest(end - start, F.lit(0)).cast("double") + 1)).cast("int")
-    cell = lambda x: F.floor(x / F.pow(F.lit(2.0), level)).cast("long")
-    return F.transform(F.sequence(cell(start), cell(end)), lambda n: F.struct(level.alias("level"), n.alias("cell")))
-
-
-def _bins_above(start: Column) -> Column:
-    """The cells that hold a place, one on each level that an interval of 64 bits may have."""
-    return F.transform(F.sequence(F.lit(0), F.lit(MOST_LEVELS)), lambda k: F.struct(k.alias("level"), F.floor(start / F.pow(F.lit(2.0), k)).cast("long").alias("cell")))
+    """Cells ``(level, number)`` of fourfold wider grids, two neighbours at most of the level on which the interval is shorter than a cell."""
+    level = F.ceil(F.log2(F.greatest(end - start, F.lit(0)).cast("double") + 1) / 2).cast("int")
+    return F.transform(F.sequence(_cell(start, level), _cell(end, level)), lambda n: F.struct(level.alias("level"), n.alias("cell")))
 
 
 def around(sites: DataFrame, scopes: DataFrame) -> DataFrame:
     """``sites(file, start, end, ...)`` with every scope ``(f, s, e, ...)`` of their file that contains them, bounds included.
 
-    An interval lies in the one or two cells of a grid as wide as itself, a site asks the cell of its start on each level: an equality join
-    on file, level and cell, so that a file of many scopes is no group of all pairs. A site meets those scopes only that are around its start or in the same cell.
+    An interval lies in the one or two cells of a grid about as wide as itself, a site asks the cell of its start on each level that has scopes: an equality
+    join on file, level and cell, so that a file of many scopes is no group of all pairs. A site meets those scopes only that are around its start or in the same cell.
     """
     placed = scopes.withColumn("at", F.explode(_bins(F.col("s"), F.col("e")))).select(*scopes.columns, F.col("at.level").alias("on_level"), F.col("at.cell").alias("on_cell"))
-    levels = F.broadcast(placed.select(F.col("on_level").alias("level")).distinct())  # no more than there are powers of two
-    wanted = sites.withColumn("at", F.explode(_bins_above(F.col("start")))).select(*sites.columns, F.col("at.level").alias("level"), F.col("at.cell").alias("cell")).join(levels, "level")
+    levels = F.broadcast(placed.agg(F.collect_set("on_level").alias("levels")))  # one row, no more levels than a number has pairs of bits
+    asked = F.transform("levels", lambda k: F.struct(k.alias("level"), _cell(F.col("start"), k).alias("cell")))
+    wanted = sites.crossJoin(levels).withColumn("at", F.explode(asked)).select(*sites.columns, F.col("at.level").alias("level"), F.col("at.cell").alias("cell"))
     inside = F.expr("file = f and level = on_level and cell = on_cell and s <= start and e >= end")
     return wanted.join(placed, inside).select(*sites.columns, *scopes.columns)
 
@@ -55,10 +51,13 @@ def qualify(definitions: DataFrame) -> DataFrame:
     """
     d = definitions.select("file", "kind", "name", "start", "end", "ordinal")
     functions = d.where("kind = 'function'")
-    held = containing(functions, d.select("file", "start", "end", "ordinal", "name")).groupBy(*d.columns).agg(F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("e"), F.col("outer_ordinal").alias("o"), F.col("outer_name").alias("scope")))).alias("scopes"))
-    held = held.select(*[F.col(c).alias(f"its_{c}") for c in d.columns], "scopes")
-    joined = functions.join(held, F.expr(" and ".join(f"{c} <=> its_{c}" for c in d.columns)), "left")
-    path = F.array_join(F.concat(F.coalesce(F.transform("scopes", lambda x: x["scope"]), F.array().cast("array<string>")), F.array("name")), ".")
+    scope = F.struct("s", (-F.col("e")).alias("e"), F.col("outer_ordinal").alias("o"), F.col("outer_name").alias("scope"))
+    held = containing(functions, d.select("file", "start", "end", "ordinal", "name")).select(*d.columns, scope.alias("scope"))
+    # Functions themselves go along without a scope, which collect_list leaves out: one shuffle, and those without a scope stay.
+    both = held.unionByName(functions.withColumn("scope", F.lit(None).cast(held.schema["scope"].dataType)))
+    grouped = both.groupBy(*d.columns).agg(F.array_sort(F.collect_list("scope")).alias("scopes"), F.count_if(F.col("scope").isNull()).alias("times"))
+    joined = grouped.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    path = F.array_join(F.concat(F.transform("scopes", lambda x: x["scope"]), F.array("name")), ".")
     named = joined.select("file", "kind", "name", "start", "end", "ordinal", F.concat("file", F.lit("#"), path).alias("id"))
     return named.unionByName(d.where("kind = 'class'").withColumn("id", F.concat("file", F.lit("#class:"), "name")))
 
@@ -96,13 +95,16 @@ def index_edges(occurrences: DataFrame, scopes: DataFrame) -> tuple[DataFrame, D
     definitions = sites.select("symbol", "kind").join(placed, "symbol").select("symbol", "id", "kind")
     targets = definitions.where("id is not null and kind = 'function'").select("symbol", F.col("id").alias("dst"))
     uses = occurrences.where(F.col("symbol_roles").bitwiseAND(F.lit(1)) == 0).join(targets, "symbol")
-    uses = uses.select(F.concat_ws("\x1f", "doc_idx", "occ_idx").alias("site"), "file", F.col("row").alias("start"), F.col("row").alias("end"), "dst")
+    # A place is sought once, however many uses it has.
+    uses = uses.groupBy("file", "row", "dst").agg(F.count("*").alias("n"))
+    places = uses.select(F.struct("file", "row").alias("site"), "file", F.col("row").alias("start"), F.col("row").alias("end")).distinct()
     functions = scopes.where("kind = 'function'") if "kind" in scopes.columns else scopes
-    callers = uses.select("site", "dst").join(smallest_containing(uses, functions, "left").select("site", F.col("scope_id").alias("src")), "site")
-    edges = callers.where("src is not null and src != dst").groupBy("src", "dst").agg(F.count("*").alias("call_count"))
+    callers = uses.join(smallest_containing(places, functions).select("site.file", "site.row", F.col("scope_id").alias("src")), ["file", "row"], "left").select("src", "dst", "n")
+    edges = callers.where("src is not null and src != dst").groupBy("src", "dst").agg(F.sum("n").alias("call_count"))
     edges = edges.select("src", "dst", "call_count", F.lit(INDEX_CONFIDENCE).alias("confidence"), F.lit(INDEX_PROVIDER).alias("provider"))
     counts = definitions.agg(F.count("*").alias("symbols"), F.count("id").alias("resolved"), F.count_if(F.col("id").isNull()).alias("unresolved"))
-    used = callers.agg(F.count("*").alias("call_sites"), F.count_if(F.col("src").isNull()).alias("outside"), F.count_if(F.col("src") == F.col("dst")).alias("recursive"))
+    sum_ = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    used = callers.agg(sum_("n").alias("call_sites"), sum_(F.when(F.col("src").isNull(), F.col("n"))).alias("outside"), sum_(F.when(F.col("src") == F.col("dst"), F.col("n"))).alias("recursive"))
     return definitions, edges, counts.crossJoin(used)
 
 
