@@ -25,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, however few files they come from: for steps that take much longer than moving the rows."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The same rows, read from a table written just now; survives the loss of any executor. Deleted by :func:`drop` or when the program ends."""
     spark = df.sparkSession
