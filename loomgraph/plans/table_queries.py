@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..lineage import cut
+from ..lineage import cut, spread
 from ..operators import feedback, health, knowledge, merge, ranges, resolve
 from ..sources import symbols
 from ..streaming.feedback import evolved
@@ -15,7 +15,7 @@ from .driver import table
 
 def _docs(spark, sf):
     """A markdown document per row, its text behind a heading and references: specs, every third one a decision, every seventh without front matter, every eleventh nameless."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))  # the patterns take far longer than moving the texts
     n = D.text("doc_id")
     kind = F.when(F.col("doc_id") % 3 == 0, "DEC-").otherwise("SPEC-")
     refs = F.concat(F.lit("[["), F.lit("DEC-"), (F.col("doc_id") % 20).cast("string"), F.lit("]] and [[ SPEC-"), (F.col("doc_id") % 30).cast("string"), F.lit(" ]]\n"))
@@ -56,7 +56,7 @@ def src07_knowledge_nodes(spark, sf):
 
 
 def sf10_knowledge_edges(spark, sf):
-    return knowledge.edges(knowledge.parse_documents(_docs(spark, sf)))
+    return knowledge.edges(_parsed(spark, sf))
 
 
 def sf09_parse_knowledge(spark, sf):
