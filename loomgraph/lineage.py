@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+#: Rows of the largest table read that fall to one partition of :func:`gathered`, counted as its bytes by its columns' default widths; packed columns hold several times as many.
+_PART_ROWS = 1 << 16
+_UNKNOWN = 1 << 60
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions in which no task's share of ``df`` grows with its tables; 0 where all cores together hold them easily, or where nothing is known of their size."""
+    leaves, rows = df._jdf.queryExecution().optimizedPlan().collectLeaves(), 0.0
+    for i in range(leaves.size()):
+        size, out = int(str(leaves.apply(i).stats().sizeInBytes())), leaves.apply(i).output()
+        if size < _UNKNOWN:
+            rows = max(rows, size / (8 + sum(out.apply(k).dataType().defaultSize() for k in range(out.size()))))
+    n, spark = math.ceil(rows / _PART_ROWS), df.sparkSession
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else 0
+
+
+def gathered(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """The same rows, for a step over equal keys: where the tables are large, shuffled by them into ``n``, else :func:`parts`, partitions; else as they are."""
+    n = parts(df) if n is None else n
+    return df.repartition(n, *keys) if n else df
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """The same rows, read from a table written just now; survives the loss of any executor. Deleted by :func:`drop` or when the program ends."""
     spark = df.sparkSession

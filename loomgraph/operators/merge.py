@@ -1,7 +1,8 @@
 """Idempotent upsert of nodes and edges under provenance and origin precedence.
 
 A batch is folded row by row in its order onto the stored row of the same key, as the policy isn't
-commutative; the fold is one SQL aggregate over a sorted array, so there is one shuffle on the key.
+commutative; the fold is one SQL aggregate over an array that a sorted window collects, so there is
+one shuffle on the key, whose partitions grow in number with the tables, not in size.
 Only columns named in ``present`` are set: a column that is absent differs from one that is null.
 """
 
@@ -11,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..lineage import gathered, parts
 from ..schema import ORIGIN_RANK
 
 
@@ -28,8 +31,13 @@ def should_overwrite(old: Column, new: Column, exists: Column) -> Column:
 def _fold(stored: DataFrame, batch: DataFrame, keys: list[str], columns: list[str], keep_confidence: bool) -> DataFrame:
     kinds = dict(stored.dtypes)
     values = [c for c in columns if c not in keys]
-    incoming = batch.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*[F.col(c) if c in batch.columns else F.lit(None).cast(kinds[c]).alias(c) for c in values], F.lit(0).alias("_")).alias("new"), "present"))).alias("writes"))
-    old = stored.select(*keys, F.struct(*values, F.lit(True).alias("exists")).alias("old"))
+    n = max(parts(stored), parts(batch))
+    new = F.struct(*[F.col(c) if c in batch.columns else F.lit(None).cast(kinds[c]).alias(c) for c in values], F.lit(0).alias("_"))
+    order = ["ordinal", "new", "present"]
+    key = Window.partitionBy(*keys).orderBy(*order)
+    writes = gathered(batch.select(*keys, "ordinal", new.alias("new"), "present"), *keys, n=n)
+    incoming = writes.select(*keys, F.collect_list(F.struct(*order)).over(key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("writes"), F.row_number().over(key).alias("_k")).where("_k = 1").drop("_k")
+    old = gathered(stored, *keys, n=n).select(*keys, F.struct(*values, F.lit(True).alias("exists")).alias("old"))
     blank = F.struct(*[F.lit(None).cast(kinds[c]).alias(c) for c in values], F.lit(False).alias("exists"))
     joined = old.join(incoming, keys, "full")
 
@@ -67,7 +75,9 @@ def upsert_nodes(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 def upsert_edges(stored: DataFrame, batch: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """The edge table after ``batch(src, dst, ordinal, present, columns...)``; an edge without both ends is dropped silently."""
-    kept = batch.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
+    n = max(parts(batch), parts(sources), parts(targets))
+    known = lambda ends, c: gathered(ends.select(F.col("id").alias(c)), c, n=n)  # noqa: E731  the batch follows their partitions unless they are broadcast
+    kept = batch.join(known(sources, "src"), "src", "left_semi").join(known(targets, "dst"), "dst", "left_semi")
     if len(stored.columns) == 2:
         return stored.unionByName(kept.select("src", "dst")).distinct()
     return _fold(stored, kept, ["src", "dst"], stored.columns, keep_confidence=False).select(*stored.columns)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import gathered
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -25,11 +27,12 @@ FUNCTIONS = "functions AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS na
 def steps(spark, sf) -> DataFrame:
     """One row per call site: within an order, each part calls the next."""
     after = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    return table(spark, sf, "lineitem").select(text("l_partkey").alias("src"), F.lead("l_partkey").over(after).cast("string").alias("dst")).where("dst is not null and src != dst")
+    lines = gathered(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    return lines.select(text("l_partkey").alias("src"), F.lead("l_partkey").over(after).cast("string").alias("dst")).where("dst is not null and src != dst")
 
 
 def calls(spark, sf) -> DataFrame:
-    return steps(spark, sf).groupBy("src", "dst").agg(F.count("*").alias("call_count"))
+    return gathered(steps(spark, sf), "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("call_count"))
 
 
 CALLS = """calls AS (SELECT src, dst, count(*) AS call_count FROM (
